@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,12 +51,12 @@ def _date_text(resource: Column) -> Column:
                    F.to_json(value)))
 
 
-def parse_messages(raw: DataFrame, *, exact: bool = True) -> DataFrame:
+def parse_messages(raw: DataFrame, *, exact: bool = True, keep: Sequence[str] = ()) -> DataFrame:
     """Parsed message columns plus ``err``; a bad row keeps its id and carries the reason.
 
     All parsing is native except, with ``exact``, HTML bodies and unusual address
     headers. Both UDFs run in one Arrow hop and see NULL for rows they are not
-    needed for.
+    needed for. ``keep`` names columns of ``raw`` to carry along.
     """
     resource = F.col("payload")
     base = raw.select(
@@ -66,6 +68,7 @@ def parse_messages(raw: DataFrame, *, exact: bool = True) -> DataFrame:
         V.member(resource, "threadId").alias("thread"),
         V.member(resource, "snippet").alias("snip"),
         _date_text(resource).alias("date_text"),
+        *keep,
     )
     opened = base.select(
         "*",
@@ -134,5 +137,5 @@ def parse_messages(raw: DataFrame, *, exact: bool = True) -> DataFrame:
     }
     return parsed.select(
         *(columns[name].alias(name) for name in EMAIL_MESSAGE.names),
-        F.col("error").alias("err"),
+        F.col("error").alias("err"), *keep,
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +19,13 @@ from msgpipe.schemas import (
 )
 
 
-def assemble_records(df: DataFrame, model: str, now: Column) -> DataFrame:
+def assemble_records(df: DataFrame, model: str, now: Column,
+                     keep: Sequence[str] = ()) -> DataFrame:
     """Validated answers to summary records, errors carried along.
 
     Needs message_id, subject (already redacted), summary and err. Missing token
     columns mean usage was never observed. A record that breaks a constraint of
-    its own type is a ``summarize`` error.
+    its own type is a ``summarize`` error. ``keep`` names columns to carry along.
     """
     def tokens(name: str) -> Column:
         value = F.col(name) if name in df.columns else F.lit(None)
@@ -31,16 +34,16 @@ def assemble_records(df: DataFrame, model: str, now: Column) -> DataFrame:
     records = df.select(
         F.col("message_id").alias("source_message_id"), "subject", "summary",
         F.lit(model).alias("model"), tokens("tokens_prompt"), tokens("tokens_completion"),
-        now.alias("created_at"), "err",
+        now.alias("created_at"), "err", *keep,
     )
     problem = F.when(F.col("err").isNull(), constraint_error("summary_record"))
     return records.withColumn(
         "err", first_error(F.col("err"), error_struct("summarize", problem)))
 
 
-def records_of(df: DataFrame) -> DataFrame:
+def records_of(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The success branch."""
-    return df.filter(F.col("err").isNull()).select(*SUMMARY_RECORD.names)
+    return df.filter(F.col("err").isNull()).select(*SUMMARY_RECORD.names, *keep)
 
 
 def dead_letters_of(df: DataFrame, now: Column, *, stage_mode: str = "true",
@@ -65,12 +68,12 @@ def dead_letters_of(df: DataFrame, now: Column, *, stage_mode: str = "true",
 
 
 def split(df: DataFrame, now: Column, *, stage_mode: str = "true",
-          ) -> tuple[DataFrame, DataFrame]:
+          keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(records, dead letters); every row is in exactly one of them.
 
     Pass a staged table: both branches read ``df``.
     """
-    return records_of(df), dead_letters_of(df, now, stage_mode=stage_mode)
+    return records_of(df, keep), dead_letters_of(df, now, stage_mode=stage_mode)
 
 
 def flatten_records(records: DataFrame) -> DataFrame:

@@ -31,33 +31,35 @@ logger = logging.getLogger(__name__)
 
 
 def prepare_messages(raw: DataFrame, rules: Sequence[RedactionRule] = DEFAULT_RULES, *,
-                     exact: bool = True) -> DataFrame:
+                     exact: bool = True, keep: Sequence[str] = ()) -> DataFrame:
     """Raw messages to parsed, masked messages with their prompt."""
-    parsed = redact_message(parse_messages(raw, exact=exact), rules)
+    parsed = redact_message(parse_messages(raw, exact=exact, keep=keep), rules)
     return parsed.withColumn(
         "prompt", render_prompt(F.col("subject"), F.col("sender"), F.col("body_text")))
 
 
 def answer_messages(messages: DataFrame, *, responses: DataFrame | None = None,
                     make_responder: Callable[[], Responder] | None = None,
-                    system: str | None = None) -> DataFrame:
+                    system: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Answers from a table or a callable; exactly one of the two."""
     if (responses is None) == (make_responder is None):
         raise ValueError("give either responses or make_responder")
     if responses is not None:
-        return lookup_responses(messages.select("message_id", "subject", "err"), responses)
-    return respond_with(messages, make_responder, system=system)
+        return lookup_responses(messages.select("message_id", "subject", "err", *keep), responses)
+    return respond_with(messages, make_responder, system=system,
+                        keep=("message_id", "subject", *keep))
 
 
 def summarize(raw: DataFrame, model: str, *, now: datetime | None = None,
               responses: DataFrame | None = None,
               make_responder: Callable[[], Responder] | None = None,
               rules: Sequence[RedactionRule] = DEFAULT_RULES, system: str | None = None,
-              exact: bool = True) -> DataFrame:
+              exact: bool = True, keep: Sequence[str] = ()) -> DataFrame:
     """Raw messages to records with ``err``: the whole row-wise part as one plan."""
-    answered = answer_messages(prepare_messages(raw, rules, exact=exact), responses=responses,
-                               make_responder=make_responder, system=system)
-    return assemble_records(validate_answers(answered), model, clock(now))
+    answered = answer_messages(
+        prepare_messages(raw, rules, exact=exact, keep=keep), responses=responses,
+        make_responder=make_responder, system=system, keep=keep)
+    return assemble_records(validate_answers(answered), model, clock(now), keep)
 
 
 @dataclass(frozen=True)
@@ -74,20 +76,22 @@ class BatchResult:
 
 
 def ingest(raw: DataFrame, store: Store, model: str, *, now: datetime | None = None,
-           stage_mode: str = "true", **options) -> BatchResult:
+           order: Sequence[str] = (), stage_mode: str = "true", **options) -> BatchResult:
     """Process raw messages into a store.
 
+    ``order`` names the columns of ``raw`` that say which version of a repeated
+    message came first.
+
     The responder runs once: its outcome is staged, then records, dead letters and
     totals are read from there. A duplicate is a success that adds no row. A
     dead-letter write that fails loses those rows from the store but not the
     records; they are counted as dropped.
     """
     moment = clock(now)
-    outcomes = stage(summarize(raw, model, now=now, **options), "outcomes")
+    outcomes = stage(summarize(raw, model, now=now, keep=order, **options), "outcomes")
     store.create()
-    records, letters = split(outcomes, moment, stage_mode=stage_mode)
-    appended = store.append_records(records, order=("created_at", F.xxhash64(
-        "subject", "summary.tl_dr", "summary.summary"), "subject"))
+    records, letters = split(outcomes, moment, stage_mode=stage_mode, keep=order)
+    appended = store.append_records(records, order or ("created_at",))
     failures = letters.count()
     durable = 0
     if failures:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgpipe.operators.export import export_samples
-from msgpipe.operators.records import records_of
 from msgpipe.operators.respond import require_responses
 from msgpipe.plans.batch import summarize
 from msgpipe.schemas import SUMMARY_RECORD
@@ -29,13 +28,11 @@ def replay(raw: DataFrame, responses: DataFrame, model: str,
     ``order`` columns of ``raw`` are kept for numbering.
     """
     require_responses(raw, responses)
-    outcomes = summarize(raw, model, now=REPLAY_TIME, responses=responses)
+    outcomes = summarize(raw, model, now=REPLAY_TIME, responses=responses, keep=order)
     failed = F.concat_ws(": ", "source_message_id", "err.stage", "err.error")
     checked = outcomes.withColumn("source_message_id", F.when(
         F.col("err").isNotNull(), F.raise_error(failed)).otherwise(F.col("source_message_id")))
-    records = records_of(checked)
-    keys = raw.select(F.col("message_id").alias("source_message_id"), *order)
-    return records.join(keys, "source_message_id").select(*SUMMARY_RECORD.names, *order)
+    return checked.select(*SUMMARY_RECORD.names, *order)
 
 
 def replay_folder(spark: SparkSession, folder: str, output: str, model: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from msgpipe.operators.store import Store, first_per_key
+from msgpipe.operators.store import Store
 from msgpipe.plans.batch import ingest
 
 
@@ -19,7 +19,7 @@ def _start(feed: DataFrame, handle, checkpoint: str, available_now: bool) -> Str
 
 
 def stream_messages(feed: DataFrame, store: Store, model: str, checkpoint: str, *,
-                    order: Sequence[str | Column] = (), available_now: bool = False,
+                    order: Sequence[str] = (), available_now: bool = False,
                     **options) -> StreamingQuery:
     """Run the batch job on every micro-batch of a raw-message stream.
 
@@ -30,9 +30,7 @@ def stream_messages(feed: DataFrame, store: Store, model: str, checkpoint: str,
     store.create()
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if order:
-            batch = first_per_key(batch, "message_id", order)
-        ingest(batch, store, model, **options)
+        ingest(batch, store, model, order=order, **options)
 
     return _start(feed, handle, checkpoint, available_now)
 
