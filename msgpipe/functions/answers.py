@@ -24,18 +24,15 @@ def _text_error(value: Column, name: str) -> Column:
     )
 
 
-def summary_error(answer: Column) -> Column:
-    """Why JSON text is not a summary, NULL if it is one.
+def summary_error(value: Column) -> Column:
+    """Why a VARIANT is not a summary, NULL if it is one. Mention a column, not an expression.
 
-    No type is coerced, no unknown field is accepted, and a repeated key makes
-    the JSON invalid. Lists may be absent; nothing may be null.
+    No type is coerced and no unknown field is accepted. Lists may be absent;
+    nothing may be null.
     """
-    value = F.try_parse_json(answer)
-    keys = F.json_object_keys(answer)
-    extra = F.array_except(keys, F.array(*(F.lit(name) for name in SUMMARY.names)))
+    extra = F.array_except(V.keys(value), F.array(*(F.lit(name) for name in SUMMARY.names)))
     return F.coalesce(
-        F.when(value.isNull(), F.lit("invalid JSON")),
-        F.when(keys.isNull(), F.lit("not a JSON object")),
+        F.when(~V.is_object(value), F.lit("not a JSON object")),
         F.when(F.size(extra) > 0,
                F.concat(F.lit("unknown fields: "), F.array_join(F.array_sort(extra), ", "))),
         *(_text_error(V.member(value, name), name) for name in _TEXT_FIELDS),
@@ -43,10 +40,14 @@ def summary_error(answer: Column) -> Column:
     )
 
 
-def invalid_answer_error(answer: Column) -> Column:
-    """:func:`summary_error` with a bounded quote of the answer."""
+def answer_error(answer: Column, value: Column) -> Column:
+    """Why an answer is not a summary, with a bounded quote of it.
+
+    ``value`` is ``try_parse_json(answer)``; a repeated key makes the JSON invalid.
+    """
+    reason = F.coalesce(F.when(value.isNull(), F.lit("invalid JSON")), summary_error(value))
     return F.concat(
-        F.lit("no valid summary: "), summary_error(answer),
+        F.lit("no valid summary: "), reason,
         F.lit("; raw_output='"), F.coalesce(truncate(answer, RAW_QUOTE_CHARS), F.lit("")),
         F.lit("'"))
 

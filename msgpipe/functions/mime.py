@@ -50,25 +50,32 @@ def _walk(root: Column) -> Column:
 
 
 def _part(node: Column) -> Column:
+    """The members of a part the jobs use, and what is wrong with them.
+
+    A value with any of these members is an object; only one without them is
+    looked at as a whole.
+    """
     value = node["value"]
-    filename, body, parts = (V.member(value, name) for name in ("filename", "body", "parts"))
-    data = V.member(body, "data")
+    mime_type, filename, body, data, parts = (
+        V.member(value, name) for name in ("mimeType", "filename", "body", "body.data", "parts"))
+    bare = mime_type.isNull() & filename.isNull() & body.isNull() & parts.isNull()
     error = (
-        F.when(~V.is_object(value), F.lit("part is not an object"))
-        .when(V.truthy(filename) & ~V.is_string(filename), F.lit("filename is not text"))
+        F.when(bare & ~V.is_object(value), F.lit("part is not an object"))
+        .when(~V.is_string(filename) & V.truthy(filename), F.lit("filename is not text"))
         .when(F.try_variant_get(parts, "$", "array<variant>").isNull() & V.truthy(parts),
               F.lit("parts is not a list"))
         .when(~node["opened"], F.lit("parts are nested too deeply"))
     )
     body_error = (
-        F.when(~V.is_object(body) & V.truthy(body), F.lit("body is not an object"))
+        F.when(data.isNull() & ~V.is_object(body) & V.truthy(body),
+               F.lit("body is not an object"))
         .when(~V.is_string(data) & V.truthy(data), F.lit("body data is not text"))
     )
     return F.struct(
         V.text(value, "mimeType").alias("mime_type"),
         F.nullif(F.when(V.is_string(filename), V.text(value, "filename")), F.lit(""))
         .alias("filename"),
-        F.nullif(F.when(V.is_string(data), V.text(body, "data")), F.lit("")).alias("data"),
+        F.nullif(F.when(V.is_string(data), V.text(value, "body.data")), F.lit("")).alias("data"),
         error.alias("error"),
         body_error.alias("body_error"),
     )

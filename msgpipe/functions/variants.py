@@ -29,6 +29,11 @@ def is_object(value: Column) -> Column:
     return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
 
+def keys(value: Column) -> Column:
+    """Member names of an object, NULL for anything else."""
+    return F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+
+
 def truthy(value: Column) -> Column:
     """Neither absent, null, false, zero nor empty."""
     return present(value) & ~F.to_json(value).isin('""', "0", "0.0", "-0.0", "false", "[]", "{}")

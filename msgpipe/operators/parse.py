@@ -107,18 +107,18 @@ def parse_messages(raw: DataFrame, *, exact: bool = True, keep: Sequence[str] =
         _optional_text_error(F.col("snip"), "snippet"),
     )
     to_text = html_to_text if exact else html_to_text_native
-    page = F.nullif(F.col("html.text"), F.lit(""))
-    ok = problem.isNull() & F.col("err").isNull()
-    parsed = bodies.select(
+    judged = bodies.withColumn(
+        "err", first_error(F.col("err"), error_struct("parse", problem)))
+    ok = F.col("err").isNull()
+    page = F.when(ok, F.nullif(F.col("html.text"), F.lit("")))
+    parsed = judged.select(
         "*",
-        first_error(F.col("err"), error_struct("parse", problem)).alias("error"),
-        ok.alias("ok"),
-        addresses(F.col("to_header"), exact=exact).alias("recipients"),
+        addresses(F.when(ok, F.col("to_header")), exact=exact).alias("recipients"),
         F.when(page.isNotNull(), to_text(page)).alias("page_text"),
     )
 
     def good(column: Column) -> Column:
-        return F.when(F.col("ok"), column)
+        return F.when(ok, column)
 
     empty = F.array().cast("array<string>")
     columns = {
@@ -137,5 +137,5 @@ def parse_messages(raw: DataFrame, *, exact: bool = True, keep: Sequence[str] =
     }
     return parsed.select(
         *(columns[name].alias(name) for name in EMAIL_MESSAGE.names),
-        F.col("error").alias("err"), *keep,
+        "err", *keep,
     )

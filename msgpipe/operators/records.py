@@ -13,7 +13,6 @@ from msgpipe.schemas import (
     STORED_RECORD,
     SUMMARY,
     SUMMARY_RECORD,
-    constraint_error,
     error_struct,
     first_error,
 )
@@ -23,10 +22,13 @@ def assemble_records(df: DataFrame, model: str, now: Column,
                      keep: Sequence[str] = ()) -> DataFrame:
     """Validated answers to summary records, errors carried along.
 
-    Needs message_id, subject (already redacted), summary and err. Missing token
-    columns mean usage was never observed. A record that breaks a constraint of
-    its own type is a ``summarize`` error. ``keep`` names columns to carry along.
+    Needs message_id, subject (already redacted), a validated summary and err.
+    Missing token columns mean usage was never observed. An empty id or a negative
+    count is a ``summarize`` error. ``keep`` names columns to carry along.
     """
+    if not model:
+        raise ValueError("model must not be empty")
+
     def tokens(name: str) -> Column:
         value = F.col(name) if name in df.columns else F.lit(None)
         return value.cast("bigint").alias(name)
@@ -36,7 +38,12 @@ def assemble_records(df: DataFrame, model: str, now: Column,
         F.lit(model).alias("model"), tokens("tokens_prompt"), tokens("tokens_completion"),
         now.alias("created_at"), "err", *keep,
     )
-    problem = F.when(F.col("err").isNull(), constraint_error("summary_record"))
+    problem = (
+        F.when(F.coalesce("source_message_id", F.lit("")) == "",
+               F.lit("source_message_id must not be empty"))
+        .when((F.col("tokens_prompt") < 0) | (F.col("tokens_completion") < 0),
+              F.lit("token counts must not be negative"))
+    )
     return records.withColumn(
         "err", first_error(F.col("err"), error_struct("summarize", problem)))
 

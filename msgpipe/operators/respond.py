@@ -6,11 +6,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from msgpipe.functions.answers import invalid_answer_error, summary_struct
+from msgpipe.functions.answers import answer_error, summary_struct
 from msgpipe.functions.content import content_text
 from msgpipe.schemas import carried_error, error_struct, first_error
 from msgpipe.sources.listing import preview
@@ -168,8 +168,9 @@ def answer_text(replies: DataFrame) -> DataFrame:
 
 def validate_answers(df: DataFrame) -> DataFrame:
     """``answer`` text to the ``summary`` struct, or a ``summarize`` error."""
-    problem = invalid_answer_error(F.col("answer"))
-    checked = df.withColumn(
+    parsed = df.withColumn("answer_value", F.try_parse_json("answer"))
+    problem = answer_error(F.col("answer"), F.col("answer_value"))
+    checked = parsed.withColumn(
         "err", first_error(carried_error(df), error_struct("summarize", problem)))
-    parsed: Column = summary_struct(F.try_parse_json("answer"))
-    return checked.withColumn("summary", F.when(F.col("err").isNull(), parsed)).drop("answer")
+    summary = F.when(F.col("err").isNull(), summary_struct(F.col("answer_value")))
+    return checked.withColumn("summary", summary).drop("answer", "answer_value")

@@ -23,13 +23,11 @@ def _count_error(value: Column, name: str) -> Column:
     return F.when(value.isNotNull() & ~whole, F.lit(f"{name} is not a count"))
 
 
-def _record_error(line: Column) -> Column:
-    """First reason why a line is not a valid record, NULL if it is one."""
-    record = F.try_parse_json(line)
+def _record_error(record: Column, summary: Column) -> Column:
+    """First reason why a parsed line is not a valid record, NULL if it is one."""
     texts = {name: V.member(record, name)
              for name in ("source_message_id", "model", "subject", "created_at")}
-    extra = F.array_except(F.json_object_keys(line),
-                           F.array(*(F.lit(n) for n in SUMMARY_RECORD.names)))
+    extra = F.array_except(V.keys(record), F.array(*(F.lit(n) for n in SUMMARY_RECORD.names)))
     created = V.text(record, "created_at")
     return F.coalesce(
         F.when(record.isNull(), F.lit("malformed JSON")),
@@ -38,9 +36,8 @@ def _record_error(line: Column) -> Column:
                  F.lit(f"{n} must be non-empty text")) for n in ("source_message_id", "model")),
         F.when(texts["subject"].isNotNull() & ~V.is_string(texts["subject"]),
                F.lit("subject is not text")),
-        F.when(~F.coalesce(V.is_object(V.member(record, "summary")), F.lit(False)),
-               F.lit("summary is not an object")),
-        summary_error(F.to_json(V.member(record, "summary"))),
+        F.when(summary.isNull(), F.lit("summary is missing")),
+        summary_error(summary),
         *(_count_error(V.member(record, n), n) for n in ("tokens_prompt", "tokens_completion")),
         F.when(texts["created_at"].isNotNull()
                & ~F.coalesce(V.is_string(texts["created_at"]) & created.rlike(_WITH_ZONE)
@@ -56,22 +53,24 @@ def records_from_lines(lines: DataFrame, now: Column | None = None) -> DataFrame
     valid record makes the job fail with its place; the message quotes no content.
     """
     now = now if now is not None else F.current_timestamp()
-    braces = lines.withColumn("value", strip(F.col("value"))).filter(
-        F.startswith("value", F.lit("{")))
-    problem = _record_error(F.col("value"))
-    record = F.try_parse_json(F.when(problem.isNotNull(), F.raise_error(F.concat(
-        "origin", F.lit(" at "), F.col("position").cast("string"), F.lit(": "), problem)))
-        .otherwise(F.col("value")))
-    parsed = braces.select("origin", "position", record.alias("record"))
-    return parsed.select(
-        V.text(F.col("record"), "source_message_id").alias("source_message_id"),
-        F.coalesce(V.text(F.col("record"), "subject"), F.lit("")).alias("subject"),
-        summary_struct(V.member(F.col("record"), "summary")).alias("summary"),
-        V.text(F.col("record"), "model").alias("model"),
+    parsed = (
+        lines.withColumn("value", strip(F.col("value")))
+        .filter(F.startswith("value", F.lit("{")))
+        .select("origin", "position", F.try_parse_json("value").alias("record"))
+        .withColumn("answer", V.member(F.col("record"), "summary"))
+    )
+    record = F.col("record")
+    problem = _record_error(record, F.col("answer"))
+    place = F.concat("origin", F.lit(" at "), F.col("position").cast("string"), F.lit(": "))
+    return parsed.withColumn("problem", problem).select(
+        F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(place, "problem")))
+        .otherwise(V.text(record, "source_message_id")).alias("source_message_id"),
+        F.coalesce(V.text(record, "subject"), F.lit("")).alias("subject"),
+        summary_struct(F.col("answer")).alias("summary"),
+        V.text(record, "model").alias("model"),
         *(F.try_variant_get("record", f"$.{n}", "bigint").alias(n)
           for n in ("tokens_prompt", "tokens_completion")),
-        F.coalesce(V.text(F.col("record"), "created_at").try_cast("timestamp"), now)
-        .alias("created_at"),
+        F.coalesce(V.text(record, "created_at").try_cast("timestamp"), now).alias("created_at"),
         "origin", "position",
     )
 

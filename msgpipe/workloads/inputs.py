@@ -66,7 +66,10 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def base64url(text: Column) -> Column:
     """Base64url on one line, without padding."""
-    return F.rtrim(F.translate(F.base64(text.cast("binary")), "+/\r\n", "-_"), F.lit("="))
+    data = F.base64(text.cast("binary"))
+    for old, new in (("\r\n", ""), ("+", "-"), ("/", "_"), ("=", "")):
+        data = F.replace(data, F.lit(old), F.lit(new))
+    return data
 
 
 def _leaf(mime: str, text: Column | None, filename: Column | str | None = None) -> Column:
