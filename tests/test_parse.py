@@ -57,14 +57,17 @@ def test_nested_parts_in_preorder(spark):
     assert row.attachment_filenames == ["root.eml", "pic.png"]
 
 
-@pytest.mark.parametrize("depth", [1, 3, 4, 5, 40, 300])
-def test_any_depth_is_read_whole(spark, depth):
-    tree = part("text/plain", f"level {depth}")
-    for level in range(depth, 0, -1):
-        tree = part("text/plain", f"level {level - 1}", parts=[tree])
-    row = parse(spark, resource(tree))
-    assert row.err is None
-    assert row.body_text.split("\n") == [f"level {i}" for i in range(depth + 1)]
+def test_any_depth_is_read_whole(spark):
+    depths = [1, 3, 4, 5, 40, 300]
+    trees = []
+    for depth in depths:
+        tree = part("text/plain", f"level {depth}")
+        for level in range(depth, 0, -1):
+            tree = part("text/plain", f"level {level - 1}", parts=[tree])
+        trees.append(resource(tree, f"d{depth}"))
+    for depth, row in zip(depths, parse(spark, *trees)):
+        assert row.err is None
+        assert row.body_text.split("\n") == [f"level {i}" for i in range(depth + 1)]
 
 
 def test_absent_headers_thread_and_snippet(spark):
@@ -100,7 +103,7 @@ def test_padding_and_invalid_utf8(spark):
     assert row.body_text == "a�b"
 
 
-@pytest.mark.parametrize("message, text", [
+BAD_MESSAGES = [
     ({"id": "m1", "payload": {}}, "internalDate is missing"),
     (resource({}, date="not-a-numeric-timestamp"), "not-a-numeric-timestamp"),
     (resource({}, date="1.5"), "not an integer"),
@@ -124,11 +127,15 @@ def test_padding_and_invalid_utf8(spark):
     (resource(part("text/plain", data="SGkxS")), "base64 padding"),
     (resource(part("text/plain", data="é")), "non-ASCII"),
     ("[1]", "not a JSON object"),
-])
-def test_bad_messages_carry_a_parse_error(spark, message, text):
-    row = parse(spark, message)
-    assert row.err is not None and row.err.stage == "parse" and text in row.err.error
-    assert row.body_text is None
+]
+
+
+def test_bad_messages_carry_a_parse_error(spark):
+    rows = parse(spark, *(message for message, _ in BAD_MESSAGES))
+    for row, (message, text) in zip(rows, BAD_MESSAGES):
+        assert row.err is not None, message
+        assert row.err.stage == "parse" and text in row.err.error, (message, row.err)
+        assert row.body_text is None
 
 
 def test_unreadable_json_is_a_read_error(spark):
