@@ -84,9 +84,12 @@ def _part(node: Column) -> Column:
 def flatten_parts(payload: Column) -> Column:
     """Parts in pre-order, root first, to any depth: mime_type, filename, data, errors.
 
-    Empty file names and empty data are NULL. A NULL payload is one empty part.
+    Empty file names and empty data are NULL. A missing or empty payload is one
+    empty part.
     """
-    root = F.when(V.present(payload), payload).otherwise(F.parse_json(F.lit("{}")))
+    counts = (V.member(payload, "mimeType").isNotNull() | V.member(payload, "parts").isNotNull()
+              | V.truthy(payload))
+    root = F.when(counts, payload).otherwise(F.parse_json(F.lit("{}")))
     return F.transform(_walk(root), _part)
 
 

@@ -20,35 +20,37 @@ def _optional_text_error(value: Column, name: str) -> Column:
     return F.when(V.present(value) & ~V.is_string(value), F.lit(f"{name} is not text"))
 
 
-def _headers_error(payload: Column) -> Column:
+def _headers_error(tree: Column) -> Column:
     """Headers must be a list of objects; a counted entry needs text on both sides."""
-    headers = V.member(payload, "headers")
+    headers = V.member(tree, "headers")
     entries = F.try_variant_get(headers, "$", "array<variant>")
-    bad_entry = F.exists(entries, lambda h: ~V.is_object(h) | (
-        V.member(h, "name").isNotNull() & V.member(h, "value").isNotNull()
-        & ~V.is_string(V.member(h, "name"))))
-    used_value = F.exists(entries, lambda h: F.coalesce(
-        F.lower(V.text(h, "name")).isin("subject", "from", "to")
-        & V.member(h, "value").isNotNull() & ~V.is_string(V.member(h, "value")), F.lit(False)))
+
+    def malformed(entry: Column) -> Column:
+        name, value = V.member(entry, "name"), V.member(entry, "value")
+        return F.when(name.isNull() & value.isNull(), ~V.is_object(entry)).otherwise(
+            name.isNotNull() & value.isNotNull() & ~V.is_string(name))
+
+    def unusable(entry: Column) -> Column:
+        value = V.member(entry, "value")
+        return value.isNotNull() & ~V.is_string(value) & F.coalesce(
+            F.lower(V.text(entry, "name")).isin("subject", "from", "to"), F.lit(False))
+
     return (
         F.when(headers.isNotNull() & entries.isNull(), F.lit("headers is not a list"))
-        .when(bad_entry, F.lit("headers has a malformed entry"))
-        .when(used_value, F.lit("a header value is not text"))
+        .when(F.exists(entries, malformed), F.lit("headers has a malformed entry"))
+        .when(F.exists(entries, unusable), F.lit("a header value is not text"))
     )
 
 
-def _labels_error(payload: Column) -> Column:
-    labels = V.member(payload, "labelIds")
+def _labels_error(labels: Column) -> Column:
     return F.when(F.is_variant_null(labels), F.lit("labelIds is null")).otherwise(
         V.string_list_error(labels, "labelIds"))
 
 
-def _date_text(resource: Column) -> Column:
+def _date_text(date: Column) -> Column:
     """internalDate as text; a JSON number or boolean counts by its whole part."""
-    value = V.member(resource, "internalDate")
-    return F.when(V.is_string(value), F.try_variant_get(value, "$", "string")).otherwise(
-        F.coalesce(F.try_variant_get(value, "$", "bigint").cast("string"),
-                   F.to_json(value)))
+    return F.when(V.is_string(date), F.try_variant_get(date, "$", "string")).otherwise(
+        F.coalesce(F.try_variant_get(date, "$", "bigint").cast("string"), F.to_json(date)))
 
 
 def parse_messages(raw: DataFrame, *, exact: bool = True, keep: Sequence[str] = ()) -> DataFrame:
@@ -57,85 +59,80 @@ def parse_messages(raw: DataFrame, *, exact: bool = True, keep: Sequence[str] =
     All parsing is native except, with ``exact``, HTML bodies and unusual address
     headers. Both UDFs run in one Arrow hop and see NULL for rows they are not
     needed for. ``keep`` names columns of ``raw`` to carry along.
+
+    Each step takes apart what the one before found and passes on only what is
+    still needed, so large bodies are neither copied nor parsed again.
     """
+    carried = ["message_id", "err", *keep]
     resource = F.col("payload")
-    base = raw.select(
-        "message_id",
-        carried_error(raw).alias("err"),
-        resource.alias("resource"),
-        V.member(resource, "payload").alias("tree"),
-        V.member(resource, "id").alias("id"),
-        V.member(resource, "threadId").alias("thread"),
-        V.member(resource, "snippet").alias("snip"),
-        _date_text(resource).alias("date_text"),
-        *keep,
+    members = raw.select(
+        "message_id", carried_error(raw).alias("err"), *keep,
+        *(V.member(resource, name).alias(column) for name, column in (
+            ("id", "id"), ("threadId", "thread"), ("snippet", "snip"), ("labelIds", "label_ids"),
+            ("internalDate", "date"), ("payload", "tree"))),
+        # Anything with one of the mandatory members is an object.
+        F.when(V.member(resource, "id").isNull() & V.member(resource, "internalDate").isNull()
+               & ~V.is_object(resource), F.lit("resource is not a JSON object"))
+        .alias("resource_error"),
     )
-    opened = base.select(
-        "*",
+    trees = members.select(
+        *carried, "id", "thread", "snip", "label_ids", "date", "resource_error",
+        _date_text(F.col("date")).alias("date_text"),
         mime.flatten_parts(F.col("tree")).alias("parts"),
         F.try_variant_get("tree", "$.headers", HEADERS_TYPE).alias("headers"),
-        epoch_millis(F.col("date_text")).alias("millis"),
-    )
-    texts = opened.select(
-        "*",
-        mime.inline_text(F.col("parts"), "text/plain").alias("plain"),
-        header_or_empty(F.col("headers"), "to").alias("to_header"),
-    )
-    bodies = texts.select(
-        "*",
-        F.when(F.col("plain.text") == "", mime.inline_text(F.col("parts"), "text/html"))
-        .alias("html"),
+        _headers_error(F.col("tree")).alias("headers_error"),
     )
-    date_missing = F.when(V.member(F.col("resource"), "internalDate").isNull(),
-                          F.lit("internalDate is missing"))
+    texts = trees.withColumns({
+        "plain": mime.inline_text(F.col("parts"), "text/plain"),
+        "millis": epoch_millis(F.col("date_text")),
+    })
+    found = texts.withColumns({
+        "html": F.when(F.col("plain.text") == "",
+                       mime.inline_text(F.col("parts"), "text/html")),
+        "files": mime.attachment_names(F.col("parts")),
+        "parts_error": mime.parts_error(F.col("parts")),
+    }).drop("parts")
     problem = F.coalesce(
-        F.when(~F.coalesce(V.is_object(F.col("resource")), F.lit(False)),
-               F.lit("resource is not a JSON object")),
-        F.when(V.present(F.col("tree")) & ~V.is_object(F.col("tree")) & V.truthy(F.col("tree")),
-               F.lit("payload is not an object")),
-        _headers_error(F.col("tree")),
+        "resource_error",
+        "headers_error",
         F.when(F.col("id").isNull(), F.lit("id is missing")),
         F.when(~V.is_string(F.col("id")) | (F.try_variant_get("id", "$", "string") == ""),
                F.lit("id is not a non-empty text")),
         _optional_text_error(F.col("thread"), "threadId"),
-        _labels_error(F.col("resource")),
-        date_missing,
+        _labels_error(F.col("label_ids")),
+        F.when(F.col("date").isNull(), F.lit("internalDate is missing")),
         millis_error(F.col("date_text"), F.col("millis")),
-        mime.parts_error(F.col("parts")),
+        "parts_error",
         F.col("plain.error"),
         F.col("html.error"),
         _optional_text_error(F.col("snip"), "snippet"),
     )
-    to_text = html_to_text if exact else html_to_text_native
-    judged = bodies.withColumn(
-        "err", first_error(F.col("err"), error_struct("parse", problem)))
+    judged = found.withColumn("err", first_error(F.col("err"), error_struct("parse", problem)))
     ok = F.col("err").isNull()
     page = F.when(ok, F.nullif(F.col("html.text"), F.lit("")))
-    parsed = judged.select(
-        "*",
-        addresses(F.when(ok, F.col("to_header")), exact=exact).alias("recipients"),
-        F.when(page.isNotNull(), to_text(page)).alias("page_text"),
-    )
-
-    def good(column: Column) -> Column:
-        return F.when(ok, column)
-
+    to_text = html_to_text if exact else html_to_text_native
+    to_header = F.when(ok, header_or_empty(F.col("headers"), "to"))
+    converted = judged.withColumns({
+        "recipients": addresses(to_header, exact=exact),
+        "page_text": F.when(page.isNotNull(), to_text(page)),
+    })
     empty = F.array().cast("array<string>")
     columns = {
-        "message_id": F.coalesce("message_id", V.text(F.col("resource"), "id")),
-        "thread_id": good(F.try_variant_get("thread", "$", "string")),
-        "subject": good(header_or_empty(F.col("headers"), "subject")),
-        "sender": good(header_or_empty(F.col("headers"), "from")),
-        "recipients": good(F.col("recipients")),
-        "labels": good(F.coalesce(
-            F.try_variant_get("resource", "$.labelIds", "array<string>"), empty)),
-        "received_at": good(millis_to_timestamp(F.col("millis"))),
-        "body_text": good(F.coalesce(
-            F.nullif(F.col("plain.text"), F.lit("")), F.col("page_text"), F.lit(""))),
-        "snippet": good(F.try_variant_get("snip", "$", "string")),
-        "attachment_filenames": good(mime.attachment_names(F.col("parts"))),
+        "message_id": F.coalesce("message_id", F.try_variant_get("id", "$", "string")),
+        "thread_id": F.try_variant_get("thread", "$", "string"),
+        "subject": header_or_empty(F.col("headers"), "subject"),
+        "sender": header_or_empty(F.col("headers"), "from"),
+        "recipients": F.col("recipients"),
+        "labels": F.coalesce(F.try_variant_get("label_ids", "$", "array<string>"), empty),
+        "received_at": millis_to_timestamp(F.col("millis")),
+        "body_text": F.coalesce(F.nullif(F.col("plain.text"), F.lit("")), "page_text",
+                                F.lit("")),
+        "snippet": F.try_variant_get("snip", "$", "string"),
+        "attachment_filenames": F.col("files"),
     }
-    return parsed.select(
-        *(columns[name].alias(name) for name in EMAIL_MESSAGE.names),
+    return converted.select(
+        columns["message_id"].alias("message_id"),
+        *(F.when(ok, columns[name]).alias(name)
+          for name in EMAIL_MESSAGE.names if name != "message_id"),
         "err", *keep,
     )

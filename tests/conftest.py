@@ -1,13 +1,12 @@
 import pytest
-from pyspark.sql import SparkSession
 
-from msgpipe.session import configure
+from msgpipe.session import builder, configure
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (
-        SparkSession.builder.master("local[4]").appName("msgpipe-tests")
+        builder("msgpipe-tests").master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
