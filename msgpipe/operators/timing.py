@@ -21,9 +21,8 @@ def timing_summary(timings: DataFrame) -> DataFrame:
 
 def slowest_message(timings: DataFrame) -> DataFrame:
     """The slowest message (smallest id among equals) and its milliseconds."""
-    return (timings.groupBy("duration_ms").agg(F.min("message_id").alias("message_id"))
-            .orderBy(F.col("duration_ms").desc()).limit(1)
-            .select("message_id", "duration_ms"))
+    return (timings.select("message_id", "duration_ms")
+            .orderBy(F.col("duration_ms").desc(), "message_id").limit(1))
 
 
 def slo_breaches(timings: DataFrame, message_target_ms: int = MESSAGE_TARGET_MS,

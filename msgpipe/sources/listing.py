@@ -75,6 +75,15 @@ def label_index(index: DataFrame) -> DataFrame:
     return index.select(F.explode("labels").alias("label_id"), "message_id", "received_at")
 
 
+def list_indexed(index: DataFrame, label_id: str, max_results: int | None = None) -> DataFrame:
+    """:func:`list_messages` on a stored label index: only the label's partition is read."""
+    hits = index.filter(F.col("label_id") == label_id)
+    if max_results is None:
+        return hits.select("message_id")
+    return (hits.orderBy(F.col("received_at").desc_nulls_last(), "message_id")
+            .limit(max(max_results, 0)).select("message_id"))
+
+
 def write_label_index(index: DataFrame, path: str) -> None:
     """Store :func:`label_index`; the rebalance keeps files few and splits hot labels."""
     (label_index(index).hint("rebalance", "label_id")

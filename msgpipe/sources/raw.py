@@ -100,18 +100,22 @@ def get_messages(raw: DataFrame, ids: DataFrame) -> DataFrame:
     ``ids`` has a ``message_id`` column. An empty or unknown id is a ``read``
     error of that row. The semi join cuts the raw table down first, so a short
     list is broadcast (Spark checks its size) and the large table is not shuffled.
+    Empty ids, possibly many, take no part in the joins.
     """
     requested = ids.select(F.coalesce("message_id", F.lit("")).alias("message_id"))
+    named = requested.filter("message_id <> ''")
     hits = (
-        raw.select("message_id", "payload")
-        .join(requested.filter("message_id <> ''"), "message_id", "left_semi")
+        raw.select("message_id", "payload").join(named, "message_id", "left_semi")
         .withColumn("found", F.lit(True))
     )
-    problem = F.when(F.col("message_id") == "", F.lit("no message_id given")).when(
-        F.col("found").isNull(),
-        F.concat(F.lit("unknown message_id: '"), F.col("message_id"), F.lit("'")))
-    return requested.join(hits, "message_id", "left").select(
-        "message_id", "payload", error_struct("read", problem).alias("err"))
+    unknown = F.when(F.col("found").isNull(), F.concat(
+        F.lit("unknown message_id: '"), F.col("message_id"), F.lit("'")))
+    resolved = named.join(hits, "message_id", "left").select(
+        "message_id", "payload", error_struct("read", unknown).alias("err"))
+    unnamed = requested.filter("message_id = ''").select(
+        "message_id", F.lit(None).cast("variant").alias("payload"),
+        error_struct("read", F.lit("no message_id given")).alias("err"))
+    return resolved.unionByName(unnamed)
 
 
 def empty_raw(spark: SparkSession) -> DataFrame:

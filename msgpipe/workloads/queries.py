@@ -325,16 +325,15 @@ def first_version(spark, sf_dir):
 
 
 def stream_ingest(spark, sf_dir):
-    """Both deliveries as files of a stream, ingested in two micro-batches."""
-    feed = new_staging_path(spark, "feed")
+    """Delivery 1 into a feed and through the stream, then delivery 2 after a restart."""
+    feed, progress = new_staging_path(spark, "feed"), new_staging_path(spark, "progress")
     records = inputs.order_records(spark, sf_dir)
-    for number in (1, 2):
-        records.filter(F.col("delivery") == number).coalesce(1).write.mode("append").parquet(feed)
     store = Store(spark, new_staging_path(spark, "store"))
-    stream = (spark.readStream.schema(records.schema)
-              .option("maxFilesPerTrigger", 1).parquet(feed))
-    stream_records(stream, store, new_staging_path(spark, "progress"), order=["delivery"],
-                   available_now=True).awaitTermination()
+    for number in (1, 2):
+        records.filter(F.col("delivery") == number).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(records.schema).parquet(feed)
+        stream_records(stream, store, progress, order=["delivery"],
+                       available_now=True).awaitTermination()
     return store.records().select(KEY, "subject", "tl_dr", "summary", "category", "tokens_prompt")
 
 

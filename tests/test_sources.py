@@ -10,6 +10,7 @@ from msgpipe.sources.listing import (
     LabelNotFoundError,
     label_index,
     list_by_label,
+    list_indexed,
     list_messages,
     message_index,
     resolve_label,
@@ -133,6 +134,9 @@ def test_label_index_is_pruned_by_label(spark, tmp_path):
     write_label_index(labelled(spark), path)
     hits = spark.read.parquet(path).filter("label_id = 'L1'")
     assert hits.count() == 3 and label_index(labelled(spark)).count() == 9
+    stored = spark.read.parquet(path)
+    assert [r[0] for r in list_indexed(stored, "L1", 2).collect()] == ["m5", "m3"]
+    assert list_indexed(stored, "L1").count() == 3 and list_indexed(stored, "L1", 0).count() == 0
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(label_id" in plan
 
