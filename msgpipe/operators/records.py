@@ -23,20 +23,20 @@ def assemble_records(df: DataFrame, model: str, now: Column,
     """Validated answers to summary records, errors carried along.
 
     Needs message_id, subject (already redacted), a validated summary and err.
-    Missing token columns mean usage was never observed. An empty id or a negative
-    count is a ``summarize`` error. ``keep`` names columns to carry along.
+    Missing token columns mean usage was never observed, a missing duration that no
+    call was timed. An empty id or a negative count is a ``summarize`` error. ``keep`` names columns to carry along.
     """
     if not model:
         raise ValueError("model must not be empty")
 
-    def tokens(name: str) -> Column:
+    def number(name: str) -> Column:
         value = F.col(name) if name in df.columns else F.lit(None)
         return value.cast("bigint").alias(name)
 
     records = df.select(
         F.col("message_id").alias("source_message_id"), "subject", "summary",
-        F.lit(model).alias("model"), tokens("tokens_prompt"), tokens("tokens_completion"),
-        now.alias("created_at"), "err", *keep,
+        F.lit(model).alias("model"), number("tokens_prompt"), number("tokens_completion"),
+        now.alias("created_at"), number("duration_ms"), "err", *keep,
     )
     problem = (
         F.when(F.coalesce("source_message_id", F.lit("")) == "",

@@ -74,6 +74,7 @@ REPLY_FIELDS = T.StructType([
     T.StructField("tokens_completion", T.LongType()),
     T.StructField("failure", T.StringType()),
     T.StructField("traceback", T.StringType()),
+    T.StructField("duration_ms", T.LongType()),
 ])
 
 
@@ -95,6 +96,12 @@ def _answer_batches(make_responder: Callable[[], Responder], system: str | None)
         return sum(known) if known else None
 
     def answer(respond, prompt):
+        import time
+
+        started = time.monotonic_ns()
+        return (*guarded(respond, prompt), (time.monotonic_ns() - started) // 1_000_000)
+
+    def guarded(respond, prompt):
         import json
         import traceback
 
@@ -111,10 +118,10 @@ def _answer_batches(make_responder: Callable[[], Responder], system: str | None)
 
         respond = make_responder()
         names = ["reply", "stop_reason", "tokens_prompt", "tokens_completion",
-                 "failure", "traceback"]
+                 "failure", "traceback", "duration_ms"]
         for frame in frames:
             rows = [
-                (None,) * 6 if failed else answer(respond, prompt)
+                (None,) * len(names) if failed else answer(respond, prompt)
                 for prompt, failed in zip(frame["prompt"], frame["failed"])
             ]
             replies = pd.DataFrame(rows, columns=names, index=frame.index, dtype=object)
@@ -130,8 +137,8 @@ def respond_with(messages: DataFrame, make_responder: Callable[[], Responder], *
 
     ``make_responder`` runs once per task, so it can open its client there.
     Needs ``prompt``; only the ``keep`` columns travel to Python and back. Every
-    failed call becomes that row's ``summarize`` error with its traceback.
-    Stage the result before using it twice.
+    failed call becomes that row's ``summarize`` error with its traceback, and
+    ``duration_ms`` holds how long the call took. Stage the result before using it twice.
     """
     narrow = messages.select(
         *keep, carried_error(messages).alias("err"), "prompt",

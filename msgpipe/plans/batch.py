@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from msgpipe.functions.prompt import render_prompt
 from msgpipe.functions.redaction import DEFAULT_RULES, RedactionRule, redact_message
+from msgpipe.operators.export import emit_records
 from msgpipe.operators.parse import parse_messages
 from msgpipe.operators.records import assemble_records, split
 from msgpipe.operators.respond import (
@@ -69,6 +70,7 @@ class BatchResult:
     outcomes: DataFrame
     records: DataFrame
     dead_letters: DataFrame
+    timings: DataFrame
     appended: Appended
     dead_letter_count: int
     dropped_count: int
@@ -76,11 +78,13 @@ class BatchResult:
 
 
 def ingest(raw: DataFrame, store: Store, model: str, *, now: datetime | None = None,
-           order: Sequence[str] = (), stage_mode: str = "true", **options) -> BatchResult:
+           order: Sequence[str] = (), stage_mode: str = "true", emit_path: str | None = None,
+           **options) -> BatchResult:
     """Process raw messages into a store.
 
     ``order`` names the columns of ``raw`` that say which version of a repeated
-    message came first.
+    message came first. ``emit_path`` gets every record of the run as a JSON line,
+    duplicates too.
 
     The responder runs once: its outcome is staged, then records, dead letters and
     totals are read from there. A duplicate is a success that adds no row. A
@@ -92,6 +96,8 @@ def ingest(raw: DataFrame, store: Store, model: str, *, now: datetime | None = N
     store.create()
     records, letters = split(outcomes, moment, stage_mode=stage_mode, keep=order)
     appended = store.append_records(records, order or ("created_at",))
+    if emit_path is not None:
+        emit_records(records, emit_path)
     failures = letters.count()
     durable = 0
     if failures:
@@ -102,7 +108,10 @@ def ingest(raw: DataFrame, store: Store, model: str, *, now: datetime | None = N
                          failures, type(error).__name__)
     totals = run_totals(records, dead_letters=durable, dropped=failures - durable)
     logger.info("%s", totals_line(totals).first()[0])
-    return BatchResult(outcomes, records, letters, appended, durable, failures - durable, totals)
+    timings = outcomes.filter("err is null and duration_ms is not null").select(
+        F.col("source_message_id").alias("message_id"), "duration_ms")
+    return BatchResult(outcomes, records, letters, timings, appended, durable,
+                       failures - durable, totals)
 
 
 def run_label_batch(raw: DataFrame, labels: DataFrame, label: str, store: Store, model: str, *,

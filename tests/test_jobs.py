@@ -7,6 +7,7 @@ from builders import SUMMARY, part, raw_frame, resource
 from pyspark.sql import functions as F
 
 from msgpipe.operators.store import Store
+from msgpipe.operators.timing import slo_breaches, timing_summary
 from msgpipe.plans.batch import ingest, run_label_batch, summarize
 from msgpipe.plans.capture import Outcome, run_capture
 from msgpipe.plans.replay import replay_folder
@@ -127,12 +128,12 @@ def test_failed_dead_letter_write_is_counted_as_dropped(spark, tmp_path, monkeyp
 
 def test_label_batch_takes_the_newest(spark, tmp_path):
     raw = raw_frame(spark, [message(n) for n in range(1, 8)])
-    labels = spark.createDataFrame([("poc/reports", "L1")], "name string, label_id string")
+    labels = spark.createDataFrame([("reports", "L1")], "name string, label_id string")
     answers = answers_frame(spark, {f"msg-{n}": answer(n) for n in range(1, 8)})
     store = Store(spark, str(tmp_path / "store"))
-    run_label_batch(raw, labels, "poc/reports", store, "m", limit=3, responses=answers)
+    run_label_batch(raw, labels, "reports", store, "m", limit=3, responses=answers)
     assert {r.source_message_id for r in store.records().collect()} == {"msg-5", "msg-6", "msg-7"}
-    with pytest.raises(ValueError, match="Available labels: poc/reports"):
+    with pytest.raises(ValueError, match="Available labels: reports"):
         run_label_batch(raw, labels, "nope", store, "m", responses=answers)
 
 
@@ -163,6 +164,9 @@ def test_responder_is_asked_once_per_message(spark, tmp_path):
     result = ingest(raw_frame(spark, [message(1), message(2), message(3)]), store, "m",
                     make_responder=make)
     assert len(list(calls.iterdir())) == 3
+    assert {r.message_id for r in result.timings.collect()} == {"msg-1", "msg-3"}
+    assert slo_breaches(result.timings).isEmpty()
+    assert timing_summary(result.timings).first().messages == 2
     assert result.totals.first()[:1] == (2,) and result.totals.first().tokens_prompt_sum == 20
     assert result.totals.first().tokens_completion_sum == 8
     letter = store.dead_letters().first()
@@ -181,10 +185,13 @@ def test_first_version_of_a_repeated_message_wins(spark, tmp_path):
     raw = raw_frame(spark, [message(1), {**message(2), "id": "msg-1"}]).withColumn(
         "seq", F.monotonically_increasing_id())
     store = Store(spark, str(tmp_path / "store"))
-    result = ingest(raw, store, "m", order=["seq"],
+    emitted = str(tmp_path / "emitted")
+    result = ingest(raw, store, "m", order=["seq"], emit_path=emitted,
                     responses=answers_frame(spark, {"msg-1": answer(1)}))
     assert (result.appended.inserted, result.appended.ignored) == (1, 1)
     assert result.totals.first().messages_processed == 2
+    lines = [json.loads(r[0]) for r in spark.read.text(emitted).collect()]
+    assert sorted(r["subject"][:9] for r in lines) == ["Subject 1", "Subject 2"]
     assert store.records().first().subject.startswith("Subject 1")
 
 
