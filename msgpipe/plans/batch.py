@@ -83,7 +83,8 @@ def ingest(raw: DataFrame, store: Store, model: str, *, now: datetime | None = N
     """Process raw messages into a store.
 
     ``order`` names the columns of ``raw`` that say which version of a repeated
-    message came first. ``emit_path`` gets every record of the run as a JSON line,
+    message came first; without it the choice among versions is fixed but arbitrary.
+    ``emit_path`` gets every record of the run as a JSON line,
     duplicates too.
 
     The responder runs once: its outcome is staged, then records, dead letters and
@@ -95,7 +96,8 @@ def ingest(raw: DataFrame, store: Store, model: str, *, now: datetime | None = N
     outcomes = stage(summarize(raw, model, now=now, keep=order, **options), "outcomes")
     store.create()
     records, letters = split(outcomes, moment, stage_mode=stage_mode, keep=order)
-    appended = store.append_records(records, order or ("created_at",))
+    appended = store.append_records(
+        records, order or ("subject", F.to_json("summary")))
     if emit_path is not None:
         emit_records(records, emit_path)
     failures = letters.count()

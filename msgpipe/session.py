@@ -7,14 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings that change results (time zone, ANSI) or let Spark re-plan at run
-# time. Sizes such as shuffle partitions stay with the cluster; AQE coalesces.
+# Settings that change results (time zone, ANSI), let Spark re-plan at run time
+# or bound memory. Other sizes such as shuffle partitions stay with the cluster; AQE coalesces.
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Bodies vary from bytes to megabytes: bound what one Python batch holds.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
 }
 
 # Settings only a new session can take: recording a call site for every Column

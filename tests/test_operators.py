@@ -250,6 +250,28 @@ def test_store_appends_once_and_keeps_every_dead_letter(spark, tmp_path):
         store.append_dead_letters(letters.withColumn("error", F.lit("")))
 
 
+def test_one_key_with_a_third_of_all_rows(spark):
+    """Results stay whole and right when one id dominates, across shuffles."""
+    rows = [("hot" if i % 3 == 0 else f"m{i}", i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "message_id string, seq int").repartition(8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        firsts = {r.message_id: r.seq for r in first_per_key(df, "message_id", ["seq"]).collect()}
+        answers = spark.createDataFrame([("hot", "{}"), ("m1", "{}")],
+                                        "message_id string, answer string")
+        found = lookup_responses(df, answers)
+        counts = found.groupBy(F.col("err").isNull().alias("ok")).count().collect()
+        calls = df.select("message_id", F.col("seq").alias("step"),
+                          F.lit(1).cast("bigint").alias("tokens_prompt"),
+                          F.lit(None).cast("bigint").alias("tokens_completion"))
+        running = running_usage(calls, block_steps=100).filter("message_id = 'hot'").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert firsts["hot"] == 0 and len(firsts) == 4001
+    assert {r.ok: r["count"] for r in counts} == {True: 2001, False: 3999}
+    assert all(r.tokens_prompt == r.step // 3 + 1 for r in running) and len(running) == 2000
+
+
 USAGE = "message_id string, step int, tokens_prompt bigint, tokens_completion bigint"
 
 
