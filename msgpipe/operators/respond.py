@@ -132,17 +132,21 @@ def _answer_batches(make_responder: Callable[[], Responder], system: str | None)
 
 def respond_with(messages: DataFrame, make_responder: Callable[[], Responder], *,
                  system: str | None = None, keep: Sequence[str] = ("message_id", "subject"),
-                 ) -> DataFrame:
+                 parallelism: int | None = None) -> DataFrame:
     """Ask a responder once per message that has no error yet.
 
-    ``make_responder`` runs once per task, so it can open its client there.
+    ``make_responder`` runs once per task, so it can open its client there;
+    ``parallelism`` spreads the calls over that many tasks.
     Needs ``prompt``; only the ``keep`` columns travel to Python and back. Every
     failed call becomes that row's ``summarize`` error with its traceback, and
     ``duration_ms`` holds how long the call took. Stage the result before using it twice.
     """
+    # One task asks one message at a time, so more tasks mean more calls in flight.
     narrow = messages.select(
         *keep, carried_error(messages).alias("err"), "prompt",
         carried_error(messages).isNotNull().alias("failed"))
+    if parallelism is not None:
+        narrow = narrow.repartition(parallelism)
     schema = T.StructType([
         *(f for f in narrow.schema if f.name not in ("prompt", "failed")), *REPLY_FIELDS])
     replies = narrow.mapInPandas(_answer_batches(make_responder, system), schema)

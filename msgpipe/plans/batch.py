@@ -41,13 +41,14 @@ def prepare_messages(raw: DataFrame, rules: Sequence[RedactionRule] = DEFAULT_RU
 
 def answer_messages(messages: DataFrame, *, responses: DataFrame | None = None,
                     make_responder: Callable[[], Responder] | None = None,
-                    system: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+                    system: str | None = None, parallelism: int | None = None,
+                    keep: Sequence[str] = ()) -> DataFrame:
     """Answers from a table or a callable; exactly one of the two."""
     if (responses is None) == (make_responder is None):
         raise ValueError("give either responses or make_responder")
     if responses is not None:
         return lookup_responses(messages.select("message_id", "subject", "err", *keep), responses)
-    return respond_with(messages, make_responder, system=system,
+    return respond_with(messages, make_responder, system=system, parallelism=parallelism,
                         keep=("message_id", "subject", *keep))
 
 
@@ -55,11 +56,12 @@ def summarize(raw: DataFrame, model: str, *, now: datetime | None = None,
               responses: DataFrame | None = None,
               make_responder: Callable[[], Responder] | None = None,
               rules: Sequence[RedactionRule] = DEFAULT_RULES, system: str | None = None,
-              exact: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+              parallelism: int | None = None, exact: bool = True,
+              keep: Sequence[str] = ()) -> DataFrame:
     """Raw messages to records with ``err``: the whole row-wise part as one plan."""
     answered = answer_messages(
         prepare_messages(raw, rules, exact=exact, keep=keep), responses=responses,
-        make_responder=make_responder, system=system, keep=keep)
+        make_responder=make_responder, system=system, parallelism=parallelism, keep=keep)
     return assemble_records(validate_answers(answered), model, clock(now), keep)
 
 

@@ -162,7 +162,7 @@ def test_responder_is_asked_once_per_message(spark, tmp_path):
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     store = Store(spark, str(tmp_path / "store"))
     result = ingest(raw_frame(spark, [message(1), message(2), message(3)]), store, "m",
-                    make_responder=make)
+                    make_responder=make, parallelism=2)
     assert len(list(calls.iterdir())) == 3
     assert {r.message_id for r in result.timings.collect()} == {"msg-1", "msg-3"}
     assert slo_breaches(result.timings).isEmpty()
