@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from msgpipe.operators.numbering import sample_names
 from msgpipe.operators.records import record_json, record_json_column

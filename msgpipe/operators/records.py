@@ -24,7 +24,8 @@ def assemble_records(df: DataFrame, model: str, now: Column,
 
     Needs message_id, subject (already redacted), a validated summary and err.
     Missing token columns mean usage was never observed, a missing duration that no
-    call was timed. An empty id or a negative count is a ``summarize`` error. ``keep`` names columns to carry along.
+    call was timed. An empty id or a negative count is a ``summarize`` error.
+    ``keep`` names columns to carry along.
     """
     if not model:
         raise ValueError("model must not be empty")

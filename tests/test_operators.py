@@ -115,7 +115,8 @@ def test_invalid_answers(spark):
 
 def test_lookup_and_missing(spark):
     messages = spark.createDataFrame([("a",), ("b",), ("c",)], "message_id string")
-    responses = spark.createDataFrame([("a", "{}"), ("x", "{}")], "message_id string, answer string")
+    responses = spark.createDataFrame([("a", "{}"), ("x", "{}")],
+                                      "message_id string, answer string")
     rows = {r.message_id: r.err for r in lookup_responses(messages, responses).collect()}
     assert rows["a"] is None and "no answer for message_id 'b'" in rows["b"].error
     assert sorted(r[0] for r in missing_responses(messages, responses).collect()) == ["b", "c"]

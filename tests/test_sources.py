@@ -2,7 +2,7 @@ import json
 from datetime import datetime
 
 import pytest
-from builders import SUMMARY, part, raw_frame, resource
+from builders import SUMMARY, raw_frame, resource
 from pyspark.sql import functions as F
 
 from msgpipe.sources.captures import read_captured_records, read_timings
