@@ -9,7 +9,9 @@ maps a document key to its place in constant time: a minimal perfect hash functi
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -29,7 +31,9 @@ GAMMA = 2.0
 #: Keys that still collide after so many levels are listed with their hashes.
 LEVELS = 40
 #: Entries of a worker's word cache (two generations of this many).
-CACHE = 200_000
+CACHE = 100_000
+#: Words that go to the library in one text.
+_GROUP = 256
 
 ENTRY = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n", "<u8")])
 
@@ -58,18 +62,42 @@ class WordBPE:
     """The tokenizers library behind a cache of words.
 
     The tokenizer treats text between spaces on its own, so a word has the same ids
-    wherever it stands, and only words not seen lately reach the library.
+    wherever it stands, and only words not seen lately reach the library. They go
+    there together, parted by a special token, at which the library cuts a text before
+    anything else.
     """
 
     def __init__(self, tokenizer_file: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.dtype = np.dtype("<u4" if wide else "<u2")
+        self.dtype = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
+        self.mark_id, self.mark = next(
+            (k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items()
+            if t.special and not (t.lstrip or t.rstrip or t.single_word))
         self.fresh: dict[str, bytes] = {}
         self.aged: dict[str, bytes] = {}
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in
+                self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Raw ids of each word."""
+        found: list[bytes] = [b""] * len(words)
+        plain = [k for k, w in enumerate(words) if self.mark not in w]
+        for k in set(range(len(words))).difference(plain):
+            found[k] = self._ids([words[k]])[0].tobytes()
+        groups = [plain[at:at + _GROUP] for at in range(0, len(plain), _GROUP)]
+        for group in groups:
+            ids = self._ids([self.mark.join(words[k] for k in group)])[0]
+            cuts = np.r_[-1, np.flatnonzero(ids == self.mark_id), len(ids)].tolist()
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            for k, start, end in zip(group, cuts, cuts[1:], strict=False):
+                found[k] = raw[(start + 1) * width:end * width]
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Raw ids of each text, the end id last."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
@@ -81,13 +109,16 @@ class WordBPE:
                 known[word] = aged[word]
             else:
                 new.append(word)
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        known.update((w, np.array(e.ids, self.dtype).tobytes())
-                     for w, e in zip(new, found, strict=True))
+        known.update(zip(new, self.encode_words(new), strict=True))
         end = np.array([END_ID], self.dtype).tobytes()
         return [b"".join(map(known.__getitem__, words)) + end for words in cut]
 
 
+@lru_cache(maxsize=2)
+def word_bpe(tokenizer_file: str) -> WordBPE:
+    return WordBPE(tokenizer_file)
+
+
 def _mix(value: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 over uint64."""
     value = value + np.uint64(0x9E3779B97F4A7C15)
@@ -193,7 +224,7 @@ class TokenFiles:
         def run(batches):
             from pyspark import TaskContext
 
-            model = WordBPE(tokenizer_file)
+            model = word_bpe(tokenizer_file)
             shard = TaskContext.get().partitionId()
             files, place = _open(f"{folder}/shard-{shard:06d}.ids")
             other, out, at, last, seen = f"{place}.{uuid.uuid4().hex}", None, 0, place, 0
@@ -222,7 +253,7 @@ class TokenFiles:
         files, place = _open(folder)
         files.create_dir(place, recursive=True)
         places = stage(ordered.mapInArrow(run, schema), "token-places")
-        width = WordBPE(tokenizer_file).dtype.itemsize
+        width = word_bpe(tokenizer_file).dtype.itemsize
         sizes = places.groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens"))
         before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
         sizes.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first"),
