@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from msgpipe.session import stage
+from msgpipe.session import new_staging_path
 
 #: Neighbours in sorted order that are linked before whole buckets are compared.
 NEAREST = 4
@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stage(rows: DataFrame, name: str) -> DataFrame:
+    """Write rows once to the shared folder and read them back: cuts lineage for good."""
+    spark = rows.sparkSession
+    path = new_staging_path(spark, name)
+    rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def in_arrow(rows: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
              schema: str) -> DataFrame:
     """``mapInArrow`` with a function that ``make`` builds once per task."""

@@ -245,5 +245,4 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         sha256_hex(F.array_join(names, ",")).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
-        F.col("longest.n_words").alias("longest_words"), F.col("longest.start").alias("longest_start"))
+        (F.col("n_hit") > 0).alias("contaminated"))

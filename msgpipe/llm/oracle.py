@@ -1,3 +1,51 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
 
-SQL: dict[str, str] = {}
+The others depend on a trained or mined model (1, 10), a tokenizer (2, 9), XXH64 (3, 4, 7)
+or discovered patterns (6); tests compare those with plain versions.
+"""
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+SQL = {
+    "op5_embedding_pca": """
+        WITH RECURSIVE vectors AS (
+            SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x) AND x <> 0)) > 0
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
+            ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+        ), reached(a, b) AS (
+            SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+        ), smallest AS (SELECT a, min(least(a, b)) AS component_id FROM reached GROUP BY a
+        ), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links,
+               coalesce(component_id, vec_id) AS component_id,
+               vec_id = coalesce(component_id, vec_id) AS kept
+        FROM embeddings LEFT JOIN counts ON vec_id = counts.a LEFT JOIN smallest ON vec_id = smallest.a
+    """,
+    "op8_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents
+        ), items AS (SELECT item_id, w, least(len(w), 10) AS k
+            FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0
+        ), windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g
+            FROM (SELECT item_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM items)
+        ), sizes AS (SELECT DISTINCT k FROM windows
+        ), places AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+            FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+                  FROM d, sizes WHERE len(w) >= k)
+        ), hits AS (SELECT doc_id, item_id, i, p.k FROM places p JOIN windows v USING (k, g)
+        ), words AS (SELECT doc_id, count(DISTINCT place) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + k)) AS place FROM hits) GROUP BY doc_id
+        ), found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+    """,
+}

@@ -20,12 +20,11 @@ from msgpipe.llm.common import (
     in_arrow,
     near,
     nearest_pairs,
+    stage,
     table,
     texts_of,
     with_component,
 )
-from msgpipe.session import stage
-
 WORDS = 4
 BITS = 4
 SEED = 42

@@ -20,8 +20,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from msgpipe.llm.common import table
-from msgpipe.session import new_staging_path, stage
+from msgpipe.llm.common import stage, table
+from msgpipe.session import new_staging_path
 
 END_ID = 1
 #: Keys of one index part, about: its build holds them all in one task.
