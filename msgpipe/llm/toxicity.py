@@ -115,8 +115,8 @@ class LabelModel:
         scale = np.sqrt(np.outer(np.diag(cov), np.diag(cov))) + 1e-12
         m = len(mean)
         use = ~np.eye(m, dtype=bool)
-        v = np.sqrt(np.maximum(np.where(use, cov, 0).max(1), 0)) + 1e-9
-        for cut in (np.inf, 0.3, 0.2):
+        v = np.array([cls._sensitivity(cov, i) for i in range(m)])
+        for cut in (0.3, 0.2, 0.2):
             residual = np.abs(cov - np.outer(v, v)) / scale
             use = ~np.eye(m, dtype=bool) & (residual <= cut)
             for _ in range(200):
@@ -130,6 +130,14 @@ class LabelModel:
         on_clean = np.clip(mean - prior * gap, low, high)
         return cls(prior, on_toxic, on_clean, weight)
 
+    @staticmethod
+    def _sensitivity(cov: np.ndarray, i: int) -> float:
+        """From triplets of voters; those with a correlated pair give more, so a low quantile."""
+        others = [j for j in range(len(cov)) if j != i]
+        found = [np.sqrt(cov[i, j] * cov[i, k] / cov[j, k]) for j in others for k in others
+                 if j < k and cov[i, j] > 0 and cov[i, k] > 0 and cov[j, k] > 0]
+        return float(np.quantile(found, 0.4)) if found else 1e-9
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         fired = np.log(self.on_toxic / self.on_clean) * self.weight
         silent = np.log((1 - self.on_toxic) / (1 - self.on_clean)) * self.weight

@@ -1,0 +1,376 @@
+"""Each operator against a plain version on small, awkward tables."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from msgpipe.llm import (
+    decontaminate,
+    embeddings,
+    line_dedup,
+    paragraphs,
+    personal_data,
+    piece_bpe,
+    simhash,
+    token_files,
+    toxicity,
+    url_rules,
+)
+from msgpipe.llm.common import components
+
+LONG = "word salad of many parts " * 4000
+TEXTS = [None, "", " ", LONG, "a b c", "A  b\nC", "same text here again", "same text here again",
+         "é 漢字 😀", "x" * 3000, " " * 500 + "end"]
+SCHEMA = "doc_id bigint, text string, ids string, score string, gone string, h bigint"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(k, t, "i", "s", "g", k) for k, t in enumerate(TEXTS)]
+    return spark.createDataFrame([*rows, rows[4]], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def _classes(n, links):
+    label = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_components(spark):
+    random.seed(1)
+    edges = [(random.randrange(60), random.randrange(60)) for _ in range(40)]
+    found = components(spark.createDataFrame(edges, "a bigint, b bigint"))
+    got = {r.node: r.component for r in found.collect()}
+    assert got == {k: c for k, c in enumerate(_classes(60, edges)) if any(
+        a != b and k in (a, b) for a, b in edges)}
+
+
+def test_simhash(spark, docs, nothing):
+    random.seed(2)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(random.choice(words) for _ in range(60)) for _ in range(8)]
+    for k in range(30):
+        parts = texts[k % 8].split()
+        parts[random.randrange(60)] = "new"
+        texts.append(" ".join(parts))
+    rows = spark.createDataFrame(list(enumerate(TEXTS + texts)), "doc_id bigint, text string")
+    prints = [simhash.fingerprint(t or "") for t in TEXTS + texts]
+    links = [(a, b) for a in range(len(prints)) for b in range(a)
+             if (prints[a] ^ prints[b]).bit_count() <= 4]
+    got = {r.doc_id: r.component_id for r in simhash.simhash_classes(rows).collect()}
+    assert got == dict(enumerate(_classes(len(prints), links)))
+    assert got[0] == got[1] == got[2] == 0
+    assert simhash.simhash_classes(docs).count() == len(TEXTS) + 1
+    assert simhash.simhash_classes(nothing).count() == 0
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id = 7").count() == 0
+
+
+def _words(text):
+    lower = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+@pytest.mark.parametrize("block_words", [2_000_000, 1])
+def test_decontamination(spark, nothing, block_words):
+    random.seed(3)
+    texts = ["".join(random.choice("ab ,.") for _ in range(90)) for _ in range(40)] + TEXTS
+    items = [(f"i{k}", " ".join(random.choice("ab") for _ in range(n)))
+             for k, n in enumerate((12, 11, 10, 4, 5, 30))] + [("none", None), ("empty", "")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    bench = spark.createDataFrame([*items, items[0]], "item_id string, text string")
+    got = {r.doc_id: r for r in
+           decontaminate.matches(rows, bench, block_words=block_words).collect()}
+    for k, text in enumerate(texts):
+        words, hit, found = _words(text), set(), set()
+        for name, item in items:
+            own = _words(item)
+            size = min(10, len(own))
+            windows = {tuple(own[i:i + size]) for i in range(len(own) - size + 1)} if own else ()
+            for i in range(len(words) - size + 1):
+                if tuple(words[i:i + size]) in windows:
+                    hit |= set(range(i, i + size))
+                    found.add(name)
+        assert (got[k].n_words, got[k].n_hit, got[k].items) == (
+            len(words), len(hit), sorted(found))
+        assert sum(s.n_words for s in got[k].spans) == len(hit)
+        if hit:
+            best = got[k].longest
+            own = _words(dict(items)[best.item_id])
+            assert words[best.start:best.start + best.n_words] == own[
+                best.item_start:best.item_start + best.n_words]
+    kept = {r.doc_id for r in decontaminate.drop_contaminated(rows, bench).collect()}
+    assert kept == {k for k in got if not got[k].n_hit}
+    assert decontaminate.matches(nothing, bench).count() == 0
+
+
+def test_pieces(spark, docs, nothing):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    model = piece_bpe.default_model()
+    known = sentencepiece.SentencePieceProcessor(model_file=model)
+    random.seed(4)
+    texts = [t or "" for t in TEXTS] + ["".join(
+        random.choice("ab  theing▁\n=-é漢😀/0 ") for _ in range(50)) for _ in range(300)] + [
+        "".join(random.choice("=-/ *▁ae") * random.randint(1, 9) for _ in range(60))
+        for _ in range(200)] + ["<s></s><0x41>"]
+    own = piece_bpe.PieceBPE(model)
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == known.encode(text) + [2]
+        assert own.decode(ids.tolist()) == known.decode(ids.tolist())
+    for _ in range(500):
+        ids = random.choices([0, 1, 2, 5, 13, 191, 233, 165, 259, 400], k=6)
+        assert own.decode(ids) == known.decode(ids)
+    assert piece_bpe.encode_pieces(docs, model).where("doc_id = 0").first().ids == [2]
+    assert piece_bpe.piece_digests(nothing, model).count() == 0
+
+
+def test_token_files(spark, docs, nothing, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    name = token_files.default_tokenizer()
+    whole = tokenizers.Tokenizer.from_file(name)
+    odd = ["it's <|endoftext|> x", "\x1c a\x1db \x85c", "İstanbul ΑΣ ẞ", "e\u0301 \u0301x"]
+    own = token_files.WordBPE(name)
+    for text, raw in zip(odd, own.encode(odd), strict=True):
+        assert np.frombuffer(raw, own.dtype).tolist() == whole.encode(
+            text, add_special_tokens=False).ids + [1]
+    stored = token_files.TokenFiles.write(docs, name, str(tmp_path / "ids"))
+    keys = docs.select("doc_id").distinct().withColumn("occurrence", F.lit(0)).unionByName(
+        spark.createDataFrame([(4, 1), (4, 2), (99, 0)], "doc_id bigint, occurrence int"))
+    got = {(r.doc_id, r.occurrence): r for r in stored.read(stored.locate(keys)).collect()}
+    assert set(got) == {(k, 0) for k in range(len(TEXTS))} | {(4, 1)}
+    sums = {(r.doc_id, r.occurrence): r.ids_crc32
+            for r in stored.checksums(stored.locate(keys)).collect()}
+    for (k, time), row in got.items():
+        ids = whole.encode(TEXTS[k] or "", add_special_tokens=False).ids + [1]
+        assert row.ids == ids
+        assert sums[k, time] == zlib.crc32(np.array(ids, "<u4").tobytes())
+    empty = token_files.TokenFiles.write(nothing, name, str(tmp_path / "none"))
+    assert empty.locate(keys).count() == 0 if (tmp_path / "none" / "index-000000.mph").exists() \
+        else empty.shards.count() == 0
+
+
+def test_perfect_hash():
+    keys = np.random.default_rng(1).integers(0, 2**63, 20_000).astype(np.uint64)
+    function, _ = token_files.PerfectHash.load(token_files.PerfectHash.build(keys).dump())
+    assert sorted(function.lookup(keys).tolist()) == list(range(len(keys)))
+    same = token_files.PerfectHash.build(np.array([7, 7, 8], np.uint64))
+    assert sorted(same.lookup(np.array([7, 8], np.uint64)).tolist())[0] >= 0
+
+
+def test_embeddings(spark):
+    random.seed(5)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(12, 8))
+    rows = [(base[k % 12] + rng.normal(size=8) * 0.25).tolist() for k in range(120)]
+    rows += [rows[0], rows[0], [2 * x for x in rows[1]], None, [], [0.0] * 8, [1.0] * 3,
+             [float("nan")] * 8, [None] + [1.0] * 7]
+    table = [(k, r, "x") for k, r in enumerate(rows)]
+    frame = spark.createDataFrame(table, "vec_id bigint, embedding array<double>, n string")
+
+    def unit(r):
+        good = r and all(x is not None and np.isfinite(x) for x in r) and any(r)
+        return np.array(r) / np.linalg.norm(r) if good else None
+
+    units = [unit(r) for r in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if units[a] is not None
+             and units[b] is not None and len(units[a]) == len(units[b])
+             and units[a] @ units[b] >= 0.9]
+    counts = [sum(k in x for x in links) for k in range(len(rows))]
+    size, embeddings.TILE = embeddings.TILE, 30
+    try:
+        got = {r.vec_id: r for r in embeddings.near_vectors(frame).collect()}
+    finally:
+        embeddings.TILE = size
+    assert [got[k].n_links for k in range(len(rows))] == counts
+    assert [got[k].component_id for k in range(len(rows))] == _classes(len(rows), links)
+    assert embeddings.near_vectors(frame.limit(0)).count() == 0
+
+
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def _holds(kind, hit):
+    digits = re.sub("[^0-9]", "", hit)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in hit.split("."))
+    if kind == "card":
+        twice = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(digits))]
+        return 12 <= len(digits) <= 19 and sum(x - 9 * (x > 9) for x in twice) % 10 == 0
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def _spans(text):
+    return sorted((m.start(), n, m.end()) for n, kind in enumerate(_PLAIN)
+                  for m in re.finditer(_PLAIN[kind], text or "") if _holds(kind, m[0]))
+
+
+def test_personal_data(spark, docs, nothing):
+    random.seed(6)
+    parts = ["1", "22", "255", "256", "007", ".", ".", "@", "a", "b-c", "_", "+", " ", "-", "(",
+             ")", "é", "😀", "\n", "4111 1111 1111 1111", "+1 (415) 555-2671", "jo@x.co", "1.2.3.4"]
+    texts = ["".join(random.choices(parts, k=random.randint(0, 60))) for _ in range(400)]
+    texts += ["1" * 3000, "a" * 3000 + "@", "a." * 3000 + "@x" + ".y" * 3000, "+1" + "(" * 3000,
+              "1." * 3000, "jo@x.co " * 1500, None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in personal_data.personal_data(rows).collect():
+        base = [tuple(s) for s in r.base]
+        assert base == _spans(texts[r.doc_id])
+        assert set(base) <= {tuple(s) for s in r.spans}
+    assert personal_data.personal_data(docs).count() == len(TEXTS) + 1
+    assert personal_data.personal_data(nothing).count() == 0
+
+
+def test_personal_data_learns_contexts(spark):
+    """Identifiers of no base form are found beside words that stood beside known ones."""
+    texts = [f"mail to person{k}@host.org please now" for k in range(60)]
+    texts += [f"mail to person{k}(at)host please now" for k in range(2)] + ["room 12b is open"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.spans for r in personal_data.personal_data(rows).collect()}
+    assert [len(got[k]) for k in (0, 60, 61, 62)] == [1, 1, 1, 0]
+    assert tuple(got[60][0]) == (8, 0, 8 + len("person0(at)host"))
+
+
+def test_line_dedup(spark, docs, nothing):
+    one = "The quick brown fox jumps over the lazy dog near river banks every single morning"
+    rows = [(1, f"{one}\nshort one\nline of its own that nobody else has written", 10),
+            (2, f"{one.upper()}!\nanother line which is only here and nowhere else", 10),
+            (3, one, 10), (4, None, None), (5, "", 0), (None, one, 5)]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, n_chars int")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()}
+    assert got[1] == rows[0][1] and got[None] == one and got[4] is None and got[5] == ""
+    assert got[2] == "another line which is only here and nowhere else" and got[3] == ""
+    kept = line_dedup.dedup_lines(docs)
+    assert kept.columns == docs.columns and kept.count() == len(TEXTS) + 1
+    assert line_dedup.dedup_lines(nothing).count() == 0
+
+
+def test_line_groups_are_verified(spark):
+    """Linked lines are close by edit distance, and equal ones always meet."""
+    random.seed(7)
+    words = [f"word{k}" for k in range(300)]
+    lines = [" ".join(random.choice(words) for _ in range(40)) for _ in range(20)]
+    for k in range(60):
+        parts = lines[k % 20].split()
+        parts[random.randrange(40)] = "changed"
+        lines.append(" ".join(parts))
+    frame = spark.createDataFrame(list(enumerate(lines + lines[:5])), "doc_id int, text string")
+    gone = {r.doc_id for r in line_dedup.removals(frame).collect()}
+    assert set(range(80, 85)) <= gone and not gone & set(range(20))
+    assert len(gone) > 20
+
+
+def test_paragraphs(spark, docs, nothing):
+    random.seed(8)
+    words = [f"w{k}" for k in range(5000)]
+
+    def text(n):
+        return " ".join(random.choice(words) for _ in range(n))
+
+    passage = text(60)
+    changed = passage.split()
+    changed[30] = "other"
+    texts = [text(80) + "\n" + passage, passage + "\n" + text(50), text(300),
+             text(90) + "\n" + " ".join(changed), text(70) + " " + passage + " " + text(200),
+             None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = paragraphs.repeated_passages(frame).collect()
+    assert {r.doc_id for r in found} >= {0, 1, 3} and 2 not in {r.doc_id for r in found}
+    assert {r.doc_id for r in found if not r.removed} == {0}
+    assert all(r.kept_doc_id == 0 for r in found)
+    assert paragraphs.repeated_passages(nothing).count() == 0
+    assert paragraphs.repeated_passages(docs).where("doc_id is null").count() == 0
+
+
+def test_cuts_do_not_depend_on_the_surroundings():
+    random.seed(9)
+    words = [f"w{k}" for k in range(900)]
+    inner = " ".join(random.choice(words) for _ in range(200))
+    left = " ".join(random.choice(words) for _ in range(77))
+    keys = [set(paragraphs.paragraphs_of([t])[3].tolist()) for t in (inner, f"{left} {inner}")]
+    assert len(keys[0] & keys[1]) >= len(keys[0]) - 2
+
+
+def test_toxicity(spark, docs, nothing):
+    random.seed(10)
+    clean = [f"term{k}" for k in range(200)]
+    bad = ["idiot", "moron", "zorgle", "snarf"]
+    rows, labels = [], []
+    for k in range(600):
+        words = [random.choice(clean) for _ in range(30)]
+        toxic = k % 5 == 0
+        if toxic:
+            for place in random.sample(range(30), 3):
+                words[place] = random.choice(bad)
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(toxic)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame([*labels, (3, None)], "doc_id bigint, toxic int")
+    fitted = toxicity.fit(frame, marks)
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(frame, fitted).collect()}
+    held = [k for k, _ in labels if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert np.mean([(got[k] >= 0.5) == labels[k][1] for k in held]) >= 0.97
+    assert toxicity.toxicity_scores(docs, fitted).where("score < 0 or score > 1").count() == 0
+    assert toxicity.drop_toxic(docs, fitted).columns == docs.columns
+    unfitted = toxicity.fit(nothing, marks.limit(0))
+    assert 0 <= unfitted.scores([""])[0] < 0.5
+
+
+def test_label_model_finds_accuracies():
+    rng = np.random.default_rng(11)
+    truth = rng.random(40_000) < 0.2
+    rates = [(0.8, 0.05), (0.6, 0.02), (0.7, 0.1), (0.5, 0.01)]
+    votes = np.column_stack([rng.random(len(truth)) < np.where(truth, a, b) for a, b in rates])
+    votes = np.column_stack([votes, votes[:, 0]]).astype(float)
+    model = toxicity.LabelModel.fit(len(votes), votes.T @ votes, 0.2)
+    assert np.abs(model.on_toxic[1:4] - [a for a, _ in rates[1:]]).max() < 0.15
+    assert model.weight[0] < 0.7 and model.weight[4] < 0.7 < model.weight[1]
+    assert ((model.posterior(votes) >= 0.5) == truth).mean() > 0.93
+
+
+def test_url_rules(spark):
+    rows = [(1, "http://A.B.net/?x=1"), (2, None), (3, "nope"), (4, "https://example.net/en/x#y"),
+            (5, "https://sub.Example.COM/de/q?z"), (6, "ftp://org/fr/"), (7, "http://xnet/"),
+            (8, "a://b://c/d"), (9, "http://example.net/en"), (10, "://"), (9, "http://net/")]
+    pages = spark.createDataFrame(rows, "page_id int, url string")
+    none = spark.createDataFrame([], "doc_id int, quality int, toxic int")
+    got = {(r.page_id, r.host, r.path, r.rule, r.verdict)
+           for r in url_rules.judge_urls(pages, none).collect()}
+    assert got == {
+        (1, "a.b.net", "/", "net/", "block"), (2, "", "", None, "allow"), (3, "", "", None, "allow"),
+        (4, "example.net", "/en/x", "example.net/en/", "allow"),
+        (5, "sub.example.com", "/de/q", "example.com/de/", "block"),
+        (6, "org", "/fr/", "org/fr/", "allow"), (7, "xnet", "/", None, "allow"),
+        (8, "b:", "//c/d", None, "allow"), (9, "example.net", "/en", "net/", "block"),
+        (10, "", "", None, "allow"), (9, "net", "/", "net/", "block")}
+
+
+def test_url_rules_are_mined(spark):
+    rows = [(k, f"http://{'win.casino' if k % 6 == 0 else f'site{k % 7}.good'}.org/en/{k}")
+            for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id int, url string")
+    labels = spark.createDataFrame([(k, int(k % 6 != 0), 0) for k in range(200)],
+                                   "doc_id int, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, labels).collect()}
+    assert got == {k: "block" if k % 6 == 0 else "allow" for k in range(300)}
+
+
+def test_digest_is_of_the_text(spark):
+    from msgpipe.llm.common import sha256_hex
+
+    row = spark.createDataFrame([("é,1",)], "x string").select(sha256_hex(F.col("x"))).first()
+    assert row[0] == hashlib.sha256("é,1".encode()).hexdigest()
