@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Closes the array that a text is parsed in. A text cannot know it, so it cannot end the
+# array itself and pass for one value.
+_MARK = uuid.uuid4().hex
+
+
+def parse_whole(text: Column) -> Column:
+    """The one JSON value that a text consists of as VARIANT, NULL for anything else.
+
+    ``try_parse_json`` reads one value and ignores what follows. In an array behind the
+    text, a mark must be the second item: trailing text breaks the array, and a second
+    value or a comma moves the mark.
+    """
+    items = F.try_variant_get(F.try_parse_json(F.concat(
+        F.lit("["), text, F.lit(f',"{_MARK}"]'))), "$", "array<variant>")
+    marked = F.try_variant_get(F.get(items, 1), "$", "string") == _MARK
+    return F.when((F.size(items) == 2) & marked, F.get(items, 0))
+
+
 def member(value: Column, name: str) -> Column:
     """Member of an object as VARIANT; SQL NULL when absent, JSON null kept."""
     return F.try_variant_get(value, f"$.{name}", "variant")

@@ -24,7 +24,14 @@ def sample_documents(records: DataFrame, keys: Sequence[str]) -> DataFrame:
 def export_samples(records: DataFrame, path: str, keys: Sequence[str]) -> None:
     """Replace the samples below ``path``: one folder with one document per record.
 
-    For sample-sized sets; use :func:`emit_records` for large ones.
+    Other files there stay. For sample-sized sets; use :func:`emit_records` for large
+    ones.
     """
-    (sample_documents(records, keys)
-     .write.mode("overwrite").partitionBy("sample_name").text(path))
+    spark = records.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    old = hadoop.Path(path, "sample_name=*_sample.json")
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    documents = sample_documents(records, keys)
+    for entry in files.globStatus(old) or ():
+        files.delete(entry.getPath(), True)
+    documents.write.mode("append").partitionBy("sample_name").text(path)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from msgpipe.functions import variants as V
 from msgpipe.functions.answers import answer_error, summary_struct
 from msgpipe.functions.content import content_text
 from msgpipe.schemas import carried_error, error_struct, first_error
@@ -17,7 +18,11 @@ from msgpipe.sources.listing import preview
 
 
 class MissingResponseError(LookupError):
-    """Messages without a prepared answer."""
+    """Messages without a prepared answer; ``missing`` holds all their ids (message_id)."""
+
+    def __init__(self, message: str, missing: DataFrame):
+        super().__init__(message)
+        self.missing = missing
 
 
 @dataclass
@@ -40,11 +45,14 @@ class Responder(Protocol):
 def lookup_responses(messages: DataFrame, responses: DataFrame) -> DataFrame:
     """Join answers by message id; a message without one gets a ``summarize`` error.
 
+    Of several answers to one id the last counts, by the responses' ``seq`` if they have
+    one, so each message stays one row.
     The join side is Spark's choice by measured size: small response tables are
     broadcast, large ones are merged, and AQE splits skewed message ids.
     """
-    answers = responses.select("message_id", F.col("answer").alias("answer"),
-                               F.lit(True).alias("answered"))
+    last = F.max_by("answer", "seq") if "seq" in responses.columns else F.max("answer")
+    answers = responses.groupBy("message_id").agg(
+        last.alias("answer"), F.lit(True).alias("answered"))
     joined = messages.join(answers, "message_id", "left")
     missing = F.when(F.col("answered").isNull(), F.concat(
         F.lit("no answer for message_id '"), F.coalesce("message_id", F.lit("")), F.lit("'")))
@@ -60,11 +68,15 @@ def missing_responses(messages: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def require_responses(messages: DataFrame, responses: DataFrame) -> None:
-    """Raise before any output if an answer is missing; the error lists the first ids."""
+    """Raise before any output if an answer is missing.
+
+    The message says how many are missing and quotes the first ids; the error's
+    ``missing`` has them all, so the driver need not hold them.
+    """
     missing = missing_responses(messages, responses)
-    ids = preview(missing, "message_id")
-    if ids:
-        raise MissingResponseError(f"no answers for message_ids: {ids}")
+    ids, count = preview(missing, "message_id")
+    if count:
+        raise MissingResponseError(f"no answers for {count} message_ids: {ids}", missing)
 
 
 REPLY_FIELDS = T.StructType([
@@ -179,7 +191,7 @@ def answer_text(replies: DataFrame) -> DataFrame:
 
 def validate_answers(df: DataFrame) -> DataFrame:
     """``answer`` text to the ``summary`` struct, or a ``summarize`` error."""
-    parsed = df.withColumn("answer_value", F.try_parse_json("answer"))
+    parsed = df.withColumn("answer_value", V.parse_whole(F.col("answer")))
     problem = answer_error(F.col("answer"), F.col("answer_value"))
     checked = parsed.withColumn(
         "err", first_error(carried_error(df), error_struct("summarize", problem)))

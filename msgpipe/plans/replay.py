@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from msgpipe.functions.checks import refuse
 from msgpipe.operators.export import export_samples
 from msgpipe.operators.respond import require_responses
 from msgpipe.plans.batch import summarize
@@ -30,8 +31,7 @@ def replay(raw: DataFrame, responses: DataFrame, model: str,
     require_responses(raw, responses)
     outcomes = summarize(raw, model, now=REPLAY_TIME, responses=responses, keep=order)
     failed = F.concat_ws(": ", "source_message_id", "err.stage", "err.error")
-    checked = outcomes.withColumn("source_message_id", F.when(
-        F.col("err").isNotNull(), F.raise_error(failed)).otherwise(F.col("source_message_id")))
+    checked = refuse(outcomes, F.when(F.col("err").isNotNull(), failed))
     return checked.select(*SUMMARY_RECORD.names, *order)
 
 

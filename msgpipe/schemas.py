@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from msgpipe.functions.checks import refuse
+
 STRINGS = T.ArrayType(T.StringType())
 
 
@@ -195,11 +197,7 @@ def conform(df: DataFrame, kind: str, now: Column | None = None) -> DataFrame:
 def require_valid(df: DataFrame, kind: str, now: Column | None = None) -> DataFrame:
     """Conform ``df`` and make the job fail on the first row that breaks a constraint."""
     conformed = conform(df, kind, now)
-    problem = constraint_error(kind)
-    first = conformed.columns[0]
-    return conformed.withColumn(first, F.when(
-        problem.isNotNull(), F.raise_error(F.concat(F.lit(f"{kind}: "), problem))
-    ).otherwise(F.col(first)))
+    return refuse(conformed, F.concat(F.lit(f"{kind}: "), constraint_error(kind)))
 
 
 def error_struct(stage: str, message: Column, traceback: Column | None = None) -> Column:

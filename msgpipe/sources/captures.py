@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from msgpipe.functions import variants as V
 from msgpipe.functions.answers import summary_error, summary_struct
+from msgpipe.functions.checks import refuse
 from msgpipe.functions.text import strip
 from msgpipe.schemas import SUMMARY_RECORD
 from msgpipe.sources.raw import numbered_lines
@@ -56,15 +57,14 @@ def records_from_lines(lines: DataFrame, now: Column | None = None) -> DataFrame
     parsed = (
         lines.withColumn("value", strip(F.col("value")))
         .filter(F.startswith("value", F.lit("{")))
-        .select("origin", "position", F.try_parse_json("value").alias("record"))
+        .select("origin", "position", V.parse_whole(F.col("value")).alias("record"))
         .withColumn("answer", V.member(F.col("record"), "summary"))
     )
     record = F.col("record")
     problem = _record_error(record, F.col("answer"))
     place = F.concat("origin", F.lit(" at "), F.col("position").cast("string"), F.lit(": "))
-    return parsed.withColumn("problem", problem).select(
-        F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(place, "problem")))
-        .otherwise(V.text(record, "source_message_id")).alias("source_message_id"),
+    return refuse(parsed, F.concat(place, problem)).select(
+        V.text(record, "source_message_id").alias("source_message_id"),
         F.coalesce(V.text(record, "subject"), F.lit("")).alias("subject"),
         summary_struct(F.col("answer")).alias("summary"),
         V.text(record, "model").alias("model"),

@@ -7,19 +7,28 @@ from pyspark.sql import functions as F
 
 from msgpipe.functions.dates import epoch_millis, millis_to_timestamp
 
-# How many names or ids an error message spells out.
+# How many names or ids an error message quotes; the error itself carries them all.
 PREVIEW = 100
 
 
 class LabelNotFoundError(ValueError):
-    """A label name has no id."""
+    """A label name has no id; ``available`` holds all names there are (name)."""
 
+    def __init__(self, message: str, available: DataFrame):
+        super().__init__(message)
+        self.available = available
 
-def preview(df: DataFrame, column: str, separator: str = ", ") -> str:
-    """The first distinct values in order, for error messages; bounded on the driver."""
-    rows = df.select(column).distinct().orderBy(column).limit(PREVIEW + 1).collect()
-    text = separator.join(str(r[0]) for r in rows[:PREVIEW])
-    return text + (f"{separator}..." if len(rows) > PREVIEW else "")
+
+def preview(df: DataFrame, column: str) -> tuple[str, int]:
+    """The first distinct values in order, for an error message, and the number of all.
+
+    The values go with the error in full as a DataFrame; this is what it quotes.
+    """
+    values = df.select(column).distinct()
+    rows = values.orderBy(column).limit(PREVIEW).collect()
+    count = len(rows) if len(rows) < PREVIEW else values.count()
+    text = ", ".join(str(r[0]) for r in rows)
+    return text + (f", ... ({count} in all)" if count > len(rows) else ""), count
 
 
 def resolve_label(labels: DataFrame, name: str) -> str:
@@ -27,8 +36,9 @@ def resolve_label(labels: DataFrame, name: str) -> str:
     order = F.col("seq") if "seq" in labels.columns else F.col("label_id")
     found = labels.filter(F.col("name") == name).agg(F.max_by("label_id", order)).first()[0]
     if found is None:
-        available = preview(labels, "name") or "(none)"
-        raise LabelNotFoundError(f"label {name!r} not found. Available labels: {available}.")
+        names = preview(labels, "name")[0] or "(none)"
+        raise LabelNotFoundError(f"label {name!r} not found. Available labels: {names}.",
+                                 labels.select("name").distinct())
     return found
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgpipe.functions import variants as V
+from msgpipe.functions.checks import refuse
 from msgpipe.schemas import RAW_MESSAGE, error_struct
 
 # Files of a message folder that are not messages.
@@ -25,12 +26,12 @@ def resource_error(payload: Column) -> Column:
 
 def _from_text(lines: DataFrame, strict: bool) -> DataFrame:
     """(value, origin, position) rows to raw messages."""
-    parsed = lines.withColumn("payload", F.try_parse_json("value"))
+    parsed = lines.withColumn("payload", V.parse_whole(F.col("value")))
     problem = resource_error(F.col("payload"))
     located = F.concat(F.col("origin"), F.lit(": "), problem)
     message_id = V.text(F.col("payload"), "id")
     if strict:
-        message_id = F.when(problem.isNotNull(), F.raise_error(located)).otherwise(message_id)
+        parsed = refuse(parsed, located)
         err = F.lit(None).cast("string")
     else:
         message_id = F.when(problem.isNull(), message_id)
@@ -82,8 +83,8 @@ def from_table(df: DataFrame) -> DataFrame:
     """Any table with ``message_id`` and ``payload`` (VARIANT or JSON text) as raw messages."""
     payload = F.col("payload")
     if dict(df.dtypes)["payload"] == "string":
-        problem = F.when(F.try_parse_json(payload).isNull(), F.lit("invalid JSON"))
-        payload = F.try_parse_json(payload)
+        payload = V.parse_whole(payload)
+        problem = F.when(payload.isNull(), F.lit("invalid JSON"))
     else:
         problem = F.when(payload.isNull(), F.lit("payload is missing"))
     return df.select("message_id", payload.alias("payload"),

@@ -16,7 +16,7 @@ def read_response_object(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.text(path, wholetext=True).select(
         "value", F.col("_metadata.file_path").alias("origin"))
-    value = F.try_parse_json("value")
+    value = V.parse_whole(F.col("value"))
     checked = F.when(value.isNull(), F.raise_error(F.concat("origin", F.lit(": invalid JSON")))) \
         .when(~V.is_object(value), F.raise_error(
             F.concat("origin", F.lit(": expected a top-level JSON object")))) \
@@ -29,7 +29,7 @@ def read_response_object(spark: SparkSession, path: str) -> DataFrame:
 
 def read_response_lines(spark: SparkSession, path: str) -> DataFrame:
     """One {"message_id": ..., "answer": {...}} per line, splittable."""
-    value = F.try_parse_json("value")
+    value = V.parse_whole(F.col("value"))
     return spark.read.text(path).filter(F.trim("value") != "").select(
         V.text(value, "message_id").alias("message_id"),
         F.to_json(V.member(value, "answer")).alias("answer"),

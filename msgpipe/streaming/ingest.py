@@ -25,12 +25,17 @@ def stream_messages(feed: DataFrame, store: Store, model: str, checkpoint: str,
 
     The first version of a message wins, within a batch by ``order`` and across
     batches because the store is asked. The store is the only state, so nothing
-    grows with the stream's age, and a retried batch adds no record twice.
+    grows with the stream's age but the store itself, and a retried batch adds no record
+    twice. With an ``emit_path``, each micro-batch has its own folder below it, which a
+    retry replaces.
     """
     store.create()
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        ingest(batch, store, model, order=order, **options)
+        own = dict(options)
+        if own.get("emit_path") is not None:
+            own["emit_path"] = f"{own['emit_path'].rstrip('/')}/batch-{batch_id:08d}"
+        ingest(batch, store, model, order=order, **own)
 
     return _start(feed, handle, checkpoint, available_now)
 
