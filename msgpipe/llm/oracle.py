@@ -13,8 +13,8 @@ SQL = {
     "op5_embedding_pca": """
         WITH RECURSIVE vectors AS (
             SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-            WHERE len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x) AND x <> 0)) > 0
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x) AND x <> 0)) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), links AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
             ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
