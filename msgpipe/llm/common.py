@@ -67,7 +67,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            F.col("v").alias("u"), F.col("m").alias("v"))
         large = stage(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v > m").select(
@@ -78,6 +78,23 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def contracted(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes (node, component), each node once, joined along further links (a, b) of nodes.
+
+    Only the links between classes are followed, and there are few of them.
+    """
+    ends = [classes.select(F.col("node").alias(x), F.col("component").alias(f"{x}_of"))
+            for x in ("a", "b")]
+    between = stage(links.join(ends[0], "a").join(ends[1], "b").select(
+        F.col("a_of").alias("a"), F.col("b_of").alias("b")).where("a <> b").distinct(), "class-links")
+    if between.isEmpty():
+        return classes
+    joined = components(between).select(
+        F.col("node").alias("component"), F.col("component").alias("joined"))
+    return classes.join(joined, "component", "left").select(
+        "node", F.coalesce("joined", "component").alias("component"))
+
+
 def crowded(members: DataFrame, bucket: list[str], order: str) -> DataFrame:
     """Members of buckets with two members at least, beside their nearest in sorted order.
 
