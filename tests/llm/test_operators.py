@@ -374,3 +374,33 @@ def test_digest_is_of_the_text(spark):
 
     row = spark.createDataFrame([("é,1",)], "x string").select(sha256_hex(F.col("x"))).first()
     assert row[0] == hashlib.sha256("é,1".encode()).hexdigest()
+
+
+def test_line_similarity_is_edit_similarity(spark):
+    import random
+
+    from msgpipe.llm.line_dedup import _similar
+
+    chance = random.Random(5)
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    rows = []
+    for _ in range(150):
+        x = "".join(chance.choice("abcd ") for _ in range(chance.randint(9, 60)))
+        y = list(x)
+        for _ in range(chance.randint(0, len(x) // 3)):
+            at = chance.randrange(len(y) + 1)
+            y[at:at + chance.randint(0, 1)] = chance.choice(["", "a", "b", "cd"])
+        y = "".join(y)
+        rows.append((x, y, distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9))
+    found = spark.createDataFrame(rows, "x string, y string, want boolean").select(
+        "want", _similar(F.col("x"), F.col("y")).alias("got")).collect()
+    assert all(r.got == r.want for r in found)
+    assert {r.want for r in found} == {True, False}
