@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The instruction every prompt begins with, and the shape asked for.
+# Fixed value: the instruction every prompt begins with.
 INSTRUCTION = (
     "Read the email below and return a JSON object with these keys: "
     "tl_dr (one sentence), summary (2-4 sentences), key_points (list), "
     "action_items (list), category (single lowercase word)."
 )
-EXPECTED_OUTPUT = "JSON with fields: tl_dr, summary, key_points, action_items, category."
 
 
 def render_prompt(subject: Column, sender: Column, body: Column) -> Column:
