@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from msgpipe.functions.text import let
 from msgpipe.session import new_staging_path
 
 #: Neighbours in sorted order that are linked before whole buckets are compared.
@@ -46,6 +47,15 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def shared(x: Column, y: Column) -> Column:
+    """Jaccard similarity of two arrays without repeats; none if both are empty."""
+    def ratio(both: Column) -> Column:
+        common = F.size(F.array_intersect(both["x"], both["y"]))
+        return common / (F.size(both["x"]) + F.size(both["y"]) - common)
+
+    return let(F.struct(x.alias("x"), y.alias("y")), ratio)
+
+
 def near(first: Column, second: Column, bits: int) -> Column:
     """Two 64-bit fingerprints differ in at most ``bits`` places."""
     return F.bit_count(first.bitwiseXOR(second)) <= bits
