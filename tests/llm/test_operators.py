@@ -404,3 +404,27 @@ def test_line_similarity_is_edit_similarity(spark):
         "want", _similar(F.col("x"), F.col("y")).alias("got")).collect()
     assert all(r.got == r.want for r in found)
     assert {r.want for r in found} == {True, False}
+
+
+def test_line_fingerprints_are_majorities(spark):
+    """Lines of fewer and more than 2**9 words have the bits of a plain version; widths agree."""
+    import xxhash
+
+    def plain(line):
+        words = set(line.split())
+        telling = {w for w in words if len(w) > line_dedup.SHORT} or words
+        hashes = [xxhash.xxh64_intdigest(w, 42) for w in telling]
+        return sum(1 << bit for bit in range(63)
+                   if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+    sizes = (5, 6, 510, 511, 512, 513, 3000)
+    texts = [" ".join(f"word{k}" for k in range(n)) for n in sizes]
+    texts += ["a b c d e f", "a b c d e words", "again again again again again"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = line_dedup.fingerprints(line_dedup.lines_of(frame)).collect()
+    assert {r.doc_id: r.fp for r in got} == {k: plain(t) for k, t in enumerate(texts)}
+
+    hashes = F.array(*(F.xxhash64(F.lit(f"w{k}")) for k in range(7)))
+    widths = spark.range(1).select(*(
+        line_dedup._majority(hashes, w).alias(f"m{w}") for w in (9, 21, 63))).first()
+    assert widths[0] == widths[1] == widths[2]
