@@ -428,3 +428,37 @@ def test_line_fingerprints_are_majorities(spark):
     widths = spark.range(1).select(*(
         line_dedup._majority(hashes, w).alias(f"m{w}") for w in (9, 21, 63))).first()
     assert widths[0] == widths[1] == widths[2]
+
+
+def _found_of(spark, pairs, more=()):
+    """Numbers of the pairs whose second line goes, and of ``more`` lines that go as repeats."""
+    # Substitutions keep the length, so the differing places bound the edit distance.
+    assert all(a != b and sum(x != y for x, y in zip(a, b, strict=True)) <= 0.2 * len(a)
+               for a, b in pairs)
+    texts = [a for a, _ in pairs] + [*more] + [b for _, b in pairs] + [*more]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    gone = {r.doc_id for r in line_dedup.removals(frame).collect()}
+    half = len(texts) // 2
+    assert not gone & set(range(half))
+    places = {k - half for k in gone}
+    return places & set(range(len(pairs))), places - set(range(len(pairs)))
+
+
+def test_line_recall(spark):
+    """Nearly all pairs of lines of edit similarity 0.8 and more are found."""
+    chance = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pairs = []
+    for n, changed, count in ((10, 1, 60), (20, 2, 60), (40, 1, 40), (40, 2, 40), (80, 8, 30)):
+        while count:
+            line = ["".join(chance.choice(letters) for _ in range(chance.randint(2, 9)))
+                    for _ in range(n)]
+            other = list(line)
+            for at in chance.sample(range(n), changed):
+                other[at] = "".join(chance.choice(letters) for _ in other[at])
+            a, b = " ".join(line), " ".join(other)
+            if a != b and sum(x != y for x, y in zip(a, b, strict=True)) <= 0.2 * len(a):
+                pairs.append((a, b))
+                count -= 1
+    found, _ = _found_of(spark, pairs)
+    assert len(found) >= 0.98 * len(pairs)
