@@ -462,3 +462,29 @@ def test_line_recall(spark):
                 count -= 1
     found, _ = _found_of(spark, pairs)
     assert len(found) >= 0.98 * len(pairs)
+
+
+def test_lines_of_every_length(spark):
+    """Repeats of few words, lines without spaces and lines of over 4,000 characters are found."""
+    chance = random.Random(12)
+
+    def line(n):
+        return [chr(0x4E00 + chance.randrange(3000)) for _ in range(n)]
+
+    pairs = []
+    for n in (20, 60, 200):
+        for _ in range(20):
+            a = line(n)
+            b = list(a)
+            for at in chance.sample(range(n), n // 20):
+                b[at] = "\u3042"
+            pairs.append(("".join(a), "".join(b)))
+    a = [f"word{chance.randrange(1000, 10000)}" for _ in range(900)]
+    b = list(a)
+    for at in range(0, 900, 20):
+        b[at] = "changed!"
+    pairs.append((" ".join(a), " ".join(b)))
+    more = ["All rights reserved.", "Ietzte.", "\u6f22\u5b57", "x"]
+    found, repeats = _found_of(spark, pairs, more)
+    assert len(repeats) == len(more)
+    assert len(found) >= 0.98 * len(pairs) and len(pairs) - 1 in found
