@@ -488,3 +488,31 @@ def test_lines_of_every_length(spark):
     found, repeats = _found_of(spark, pairs, more)
     assert len(repeats) == len(more)
     assert len(found) >= 0.98 * len(pairs) and len(pairs) - 1 in found
+
+
+def test_passages_inside_lines_and_wrapped(spark):
+    """Passages of 51 to 60 words are found to two words in the middle of lines and wrapped anew."""
+    chance = random.Random(13)
+
+    def text(n):
+        return [f"v{chance.randrange(100000)}" for _ in range(n)]
+
+    rows, want = [], {}
+    for k in range(60):
+        passage = text(51 + k % 10)
+        a, b = text(30 + k), text(90)
+        rows.append((k, " ".join(a + passage + text(50))))
+        if k % 2:
+            passage = " ".join(passage[:20]) + "\n" + " ".join(passage[20:])
+            rows.append((100 + k, " ".join(b) + "\n" + passage + "\n" + " ".join(text(40))))
+        else:
+            rows.append((100 + k, " ".join(b + passage + text(40))))
+        want[k], want[100 + k] = (len(a), 51 + k % 10), (len(b), 51 + k % 10)
+    frame = spark.createDataFrame(rows, "doc_id int, text string")
+    found = paragraphs.repeated_passages(frame).collect()
+    got = {r.doc_id: (r.start, r.start + r.n_words) for r in found}
+    # Similar pieces may differ in a word at their ends.
+    assert set(got) == set(want) and len(found) == len(want)
+    assert all(abs(got[k][0] - start) <= 2 and abs(got[k][1] - start - n) <= 2
+               for k, (start, n) in want.items())
+    assert all(r.removed == (r.doc_id >= 100) for r in found)
