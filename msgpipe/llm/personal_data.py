@@ -1,8 +1,8 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers. They are the
-seeds: the words beside them become lexical patterns, and a graph of patterns and
-identifier-like tokens is scored in rounds. A pattern is trusted if nearly all the
+seeds, each whole span one instance: the words beside it become lexical patterns, and a
+graph of patterns and identifier-like tokens is scored in rounds. A pattern is trusted if nearly all the
 tokens it stands beside are known entities of one kind; tokens that trusted patterns
 agree on are new entities, and seeds of the next round.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from msgpipe.functions.text import let
 from msgpipe.llm.common import sha256_hex, stage, table
 
 # Kinds in order, and what they look like. A match may start only where no
@@ -23,8 +24,11 @@ EMAIL = (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Identifier-like tokens: white-space words that hold a digit.
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+_DIGITS = r"[+(]?+[0-9][0-9().+/-]*+"
+#: Identifier-like tokens: digit groups with single spaces between, white-space words that
+#: hold a digit, and those with a sign inside.
+TOKEN = (rf"(?<!\S)(?:{_DIGITS}(?:\x20{_DIGITS})*+\S*+|[^\s0-9]*+[0-9]\S*+"
+         r"|[^\s@._:/(]++[@._:/(]++[^\s@._:/(]\S*+)")
 
 ROUNDS = 3
 #: A pattern needs so many different known entities, and this share of known ones.
@@ -94,49 +98,73 @@ def _valid(kind: str, hit: Column) -> Column:
 
 
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
+_TOKENS = ("array<struct<start:bigint,end:bigint,token:string,before:string,after:string,"
+           "kind:int>>")
 
 
-def base_spans(text: Column) -> Column:
-    """Sorted array of (start, kind, end) of the base entities of a text."""
+def base_tokens(text: Column) -> Column:
+    """Array of (start, end, token, before, after, kind) of the base entities of a text."""
     found = []
-    for kind, pattern, hint in (("email", EMAIL, "@"), ("ip", IP, None), ("card", CARD, None),
-                                ("phone", PHONE, "+")):
-        spans = F.transform(F.filter(matches(text, pattern), _keeper(kind)), _spanner(kind))
+    for number, (pattern, hint) in enumerate(((EMAIL, "@"), (IP, None), (CARD, None), (PHONE, "+"))):
+        hits = F.transform(F.filter(matches(text, pattern), _keeper(KINDS[number])),
+                           _instance(number))
         may = text.contains(hint) if hint else text.rlike("[0-9]")
-        found.append(F.when(may, spans).otherwise(F.array().cast(_SPANS)))
-    return F.array_sort(F.concat(*found))
+        found.append(F.when(may, hits).otherwise(F.array().cast(_TOKENS)))
+    return F.concat(*found)
 
 
 def _keeper(kind: str):
     return lambda x: _valid(kind, x["hit"])
 
 
-def _spanner(kind: str):
-    return lambda x: F.struct(
-        x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"),
-        (x["start"] + F.length(x["hit"])).alias("end"))
-
-
-def tokens(text: Column) -> Column:
-    """Array of (start, end, token, before, after): identifier-like tokens and the words beside."""
+def _instance(kind: int | None):
+    """A match with the words beside the whole of it, without the punctuation between."""
     def word(x: Column) -> Column:
         return F.regexp_replace(F.lower(x), "[0-9]", "#")
 
-    found = F.transform(matches(text, TOKEN), lambda x: F.struct(
-        x["start"].alias("start"), (x["start"] + F.length(x["hit"])).alias("end"),
-        x["hit"].alias("token"),
-        word(F.substring_index(F.rtrim(x["left"]), " ", -1)).alias("before"),
-        word(F.substring_index(F.ltrim(x["right"]), " ", 1)).alias("after")))
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,token:string,before:string,"
-                           "after:string>>")
-    return F.when(text.rlike("[0-9]"), found).otherwise(empty)
+    def instance(x: Column) -> Column:
+        left = F.regexp_replace(x["left"], r"[^\p{L}\p{N}]++$", "")
+        right = F.regexp_replace(x["right"], r"^[^\p{L}\p{N}]++", "")
+        return F.struct(
+            x["start"].alias("start"), (x["start"] + F.length(x["hit"])).alias("end"),
+            x["hit"].alias("token"), word(F.regexp_extract(left, r"(\S*+)$", 1)).alias("before"),
+            word(F.regexp_extract(right, r"^(\S*+)", 1)).alias("after"),
+            F.lit(kind).cast("int").alias("kind"))
+
+    return instance
+
+
+def spans_of(base: Column) -> Column:
+    """Sorted array of (start, kind, end) of base instances."""
+    return F.array_sort(F.transform(base, lambda t: F.struct(
+        t["start"].alias("start"), t["kind"].alias("kind"), t["end"].alias("end"))))
+
+
+def base_spans(text: Column) -> Column:
+    """Sorted array of (start, kind, end) of the base entities of a text."""
+    return spans_of(base_tokens(text))
+
+
+def tokens(text: Column) -> Column:
+    """Array like that of ``base_tokens`` of identifier-like tokens, whose kind is NULL."""
+    may = text.rlike(r"[0-9]|[^\s@._:/(][@._:/(]++[^\s@._:/(]")
+    return F.when(may, F.transform(matches(text, TOKEN), _instance(None))).otherwise(
+        F.array().cast(_TOKENS))
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, base, tokens) of each document; ``row`` tells texts of one doc_id apart."""
+    """(doc_id, row, base, tokens) of each document; ``row`` tells texts of one doc_id apart.
+
+    ``tokens`` are the base entities and the identifier-like tokens that overlap none.
+    """
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("row"), base_spans(text).alias("base"),
-                       tokens(text).alias("tokens"))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("row"), F.struct(
+        base_tokens(text).alias("known"), tokens(text).alias("others")).alias("found"))
+    return rows.select("doc_id", "row", let(F.col("found"), lambda x: let(
+        spans_of(x["known"]), lambda base: F.struct(
+            base.alias("base"), F.concat(x["known"], F.filter(x["others"], lambda t: ~F.exists(
+                base, lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"]))))
+            .alias("tokens")))).alias("x")).select("doc_id", "row", "x.base", "x.tokens")
 
 
 def new_entities(found: DataFrame) -> DataFrame:
@@ -146,10 +174,8 @@ def new_entities(found: DataFrame) -> DataFrame:
     Scores combine before each shuffle; a pattern of very many tokens is one group of a
     plain aggregate.
     """
-    seen = found.select("base", F.explode("tokens").alias("t")).select(
-        "t.token", "t.before", "t.after", F.array_min(F.transform(F.filter("base", lambda s: (
-            s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start"))),
-            lambda s: s["kind"])).alias("kind"))
+    seen = found.select(F.explode("tokens").alias("t")).select(
+        "t.token", "t.before", "t.after", "t.kind")
     edges = stage(seen.select("token", "kind", F.explode(F.array(
         F.concat(F.lit("<"), "before"), F.concat(F.lit(">"), "after"))).alias("pattern"))
         .where(F.length("pattern") > 2).groupBy("token", "pattern").agg(

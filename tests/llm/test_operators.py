@@ -516,3 +516,16 @@ def test_passages_inside_lines_and_wrapped(spark):
     assert all(abs(got[k][0] - start) <= 2 and abs(got[k][1] - start - n) <= 2
                for k, (start, n) in want.items())
     assert all(r.removed == (r.doc_id >= 100) for r in found)
+
+
+def test_personal_data_learns_from_whole_spans(spark):
+    """E-mails without digits and spaced phones are seeds as a whole, and found as a whole."""
+    names = ["".join(p) for p in zip("abcdefghijklmnop" * 2, "qrstuvwxyzabcdef" * 2, strict=True)]
+    texts = [f"write to {n}{k % 7 * 'x'}@example.com, please now" for k, n in enumerate(names)]
+    texts += [f"call +1 (743) 555-{3800 + k} today or never" for k in range(30)]
+    new = ["write to jo(at)example please now", "call 743 555 38 today or never"]
+    rows = spark.createDataFrame(list(enumerate(texts + new)), "doc_id int, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans]
+           for r in personal_data.personal_data(rows).collect()}
+    assert got[len(texts)] == [(9, 0, 9 + len("jo(at)example"))]
+    assert got[len(texts) + 1] == [(5, 3, 5 + len("743 555 38"))]
