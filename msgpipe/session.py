@@ -60,6 +60,12 @@ def new_staging_path(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/msgpipe/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder through Spark's own file system layer; False if absent."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return it read back.
 
