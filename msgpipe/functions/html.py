@@ -1,7 +1,9 @@
-"""HTML to text: an exact Arrow UDF and a native approximation.
+"""HTML to text as one pass over tokens, without leaving the JVM.
 
-Both start a line at block tags, decode entities, drop comments and tags, keep
-script and style text, strip the lines and leave out the blank ones.
+A line starts at every block tag, entities are decoded, comments and tags dropped, script
+and style text is kept as it is, lines are stripped and blank ones left out. A page is
+read as by a reader that waits for more: a tag, comment or script that never ends, and a
+last word that may be the start of an entity, give no text.
 """
 
 from __future__ import annotations
@@ -11,25 +13,59 @@ from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from msgpipe.functions.text import LINE_BREAK_CLASS, let, strip
 
 # The tags that start a new line.
 BLOCK_TAGS = ("p", "br", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6")
-
-_TAG_BODY = r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>"""
-_TOKEN = (
-    r"(?is)<!--.*?-->"
-    r"|<script(?=[\s/>])[^>]*+>.*?</script(?=[\s/>])[^>]*+>"
-    r"|<style(?=[\s/>])[^>]*+>.*?</style(?=[\s/>])[^>]*+>"
-    r"|<(?:script|style)(?=[\s/>])[^>]*+>.*"
-    rf"|<[a-z]{_TAG_BODY}|</[a-z][^>]*+>|<[!?][^>]*+>"
-    r"|<[a-z/!?].*"
-    r"|[^<]++|<(?!\z)"
-)
-_BLOCK = rf"(?i)^<(?:{'|'.join(BLOCK_TAGS)})(?=[\s/>])"
-_RAW_TEXT = r"(?is)^<(?:script|style)(?=[\s/>])[^>]*+>(.*)</[^<]*+\z"
+# Keywords of marked sections, by how the section ends.
+_LONG_SECTIONS = "temp|cdata|ignore|include|rcdata"
+_SHORT_SECTIONS = "if|else|endif"
+
+# White space (Unicode's, and the ASCII separators), for use inside brackets.
+_S = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# What ends the name of a tag.
+_STOP = r"\t\n\r\f />\x00"
+# Loops over attributes are possessive: they run as loops, however long the tag.
+_GAP = rf"(?:[{_S}]|/(?!>))*+"
+_VALUE = rf"""(?:'[^']*+'|"[^"]*+"|(?!['"])[^>{_S}]*+)"""
+_ATTRIBUTE = rf"""(?<=['"/{_S}])[^/>{_S}][^/=>{_S}]*+(?:[{_S}]*=+[{_S}]*{_VALUE})?{_GAP}"""
+_REST = rf"{_GAP}(?:{_ATTRIBUTE})*+"
+_SECTION_NAME = r"(?![-_.a-zA-Z0-9])"
+
+
+def _raw_element(name: str) -> str:
+    return rf"<{name}(?=[{_STOP}])(?!\x00){_REST}>.*?</[{_S}]*{name}[{_S}]*>"
+
+
+# In this order; together they take in every character.
+_TOKEN = "(?is)" + "|".join((
+    r"[^<]++",
+    rf"<!--.*?--[{_S}]*>",
+    rf"<!\[(?:{_LONG_SECTIONS}){_SECTION_NAME}.*?\][{_S}]*\][{_S}]*>",
+    rf"<!\[(?:{_SHORT_SECTIONS}){_SECTION_NAME}.*?\][{_S}]*>",
+    _raw_element("script"), _raw_element("style"),
+    # A raw-text element that never ends: the rest of the page.
+    rf"<(?:script|style)(?=[{_STOP}])(?!\x00){_REST}>.*",
+    rf"<[a-z][^{_STOP}]*+{_REST}/?>",
+    r"</[^>]*+>",
+    r"<(?:\?|!(?!--|\[))[^>]*+>",
+    # A name that breaks off at a NUL is text.
+    rf"""<[a-z][^{_STOP}]*+(?<!['"{_S}])(?=\x00)""",
+    # Markup that never ends, or that cannot be read: the rest of the page.
+    r"<[a-z/!?].*",
+    r"<",
+))
+_BLOCK = rf"(?i)^<(?:{'|'.join(BLOCK_TAGS)})(?=[{_STOP}])(?!\x00)"
+_RAW_TEXT = rf"(?is)^<(?:script|style)(?=[{_STOP}])(?!\x00){_REST}>(.*)</[^<]*\z"
+_CLOSED_RAW = rf"(?is)^(?:{_raw_element('script')}|{_raw_element('style')})\z"
+_RAW_START = rf"(?i)^<(?:script|style)(?=[{_STOP}])(?!\x00){_REST}>"
+# A lone bracket, or a tag's name that breaks off: text, unless the page ends there.
+_AS_TEXT = rf"(?i)^<(?:[a-z][^{_STOP}]*+)?\z"
+# A marked section that is none: an unknown keyword, or no keyword at all.
+_UNKNOWN_SECTION = (
+    rf"(?is)^<!\[(?!\z|[a-z][-_.a-z0-9]*+[{_S}]*+\z"
+    rf"|(?:{_LONG_SECTIONS}|{_SHORT_SECTIONS}){_SECTION_NAME}).*")
 _ENTITY = r"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[A-Za-z][A-Za-z0-9]*+;?)|[^&]++|&"
 # Names that count without a semicolon, longest first.
 _BARE_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
@@ -38,7 +74,7 @@ _C1_CHARS = "".join(
     bytes([b]).decode("cp1252", errors="ignore") or chr(b) for b in range(0x80, 0xA0)
 )
 # A last piece of text that may still be an unfinished entity is not emitted.
-_OPEN_TAIL = r"(?<![^<])[^<]*&[^\s;&<]{0,33}\z"
+_OPEN_ENTITY = rf"&[^&;{_S}]{{0,33}}\z"
 
 
 def _named(token: Column) -> Column:
@@ -87,53 +123,36 @@ def clean_lines(text: Column) -> Column:
 
 
 def _token_text(token: Column) -> Column:
+    """Text of one token. Tags are complete if they end with a bracket that is theirs."""
     return (
-        F.when(token.rlike(_RAW_TEXT), F.regexp_extract(token, _RAW_TEXT, 1))
-        .when(token.rlike(_BLOCK) & token.endswith(">"), F.lit("\n"))
-        .when(token.rlike("^<."), F.lit(""))
-        .otherwise(unescape(token))
+        F.when(~F.startswith(token, F.lit("<")), unescape(token))
+        .when(token.rlike(_RAW_START), F.when(
+            token.rlike(_CLOSED_RAW), F.regexp_extract(token, _RAW_TEXT, 1)).otherwise(F.lit("")))
+        .when(token.rlike(_BLOCK), F.lit("\n"))
+        .when(token.rlike(_AS_TEXT), token)
+        .otherwise(F.lit(""))
     )
 
 
-def html_to_text_native(html: Column) -> Column:
-    """Native form for scans where the interpreter's exact quirks do not matter."""
-    closed = F.regexp_replace(html, _OPEN_TAIL, "")
-    tokens = F.regexp_extract_all(closed, F.lit(_TOKEN), 0)
-    return clean_lines(F.array_join(F.transform(tokens, _token_text), ""))
-
-
-def _stdlib_html_text():
-    """Arrow UDF over the interpreter's HTML parser; NULL in, NULL out."""
-    block_tags = frozenset(BLOCK_TAGS)
-
-    @F.pandas_udf(T.StringType())
-    def convert(pages):
-        from html.parser import HTMLParser
-
-        import pandas as pd
-
-        class Text(HTMLParser):
-            def handle_starttag(self, tag, attrs):
-                if tag in block_tags:
-                    self.pieces.append("\n")
-
-            def handle_data(self, data):
-                self.pieces.append(data)
+def _tokens(html: Column) -> Column:
+    """Tokens of a page, without a last one that may be the start of an entity or a tag."""
+    def finished(tokens: Column) -> Column:
+        last = F.try_element_at(tokens, F.lit(-1))
+        held = F.coalesce(last.rlike(_AS_TEXT) | (
+            ~F.startswith(last, F.lit("<")) & last.rlike(_OPEN_ENTITY)), F.lit(False))
+        return F.when(held, F.slice(tokens, F.lit(1), F.size(tokens) - 1)).otherwise(tokens)
 
-        def to_text(page):
-            if page is None:
-                return None
-            parser = Text()
-            parser.pieces = []
-            parser.feed(page)
-            lines = (line.strip() for line in "".join(parser.pieces).splitlines())
-            return "\n".join(line for line in lines if line)
+    return let(F.regexp_extract_all(html, F.lit(_TOKEN), 0), finished)
 
-        return pd.Series([to_text(page) for page in pages], dtype=object)
 
-    return convert
+def html_error(html: Column) -> Column:
+    """Why a page cannot be read, NULL if it can: a marked section of an unknown kind."""
+    bad = F.exists(F.regexp_extract_all(html, F.lit(_TOKEN), 0),
+                   lambda token: token.rlike(_UNKNOWN_SECTION))
+    return F.when(F.contains(html, F.lit("<![")) & bad,
+                  F.lit("HTML has a marked section of an unknown kind"))
 
 
 def html_to_text(html: Column) -> Column:
-    """Exact form: what the Python interpreter's own HTML parser makes of the page."""
-    return _stdlib_html_text()(html)
+    """Text of a page; NULL stays NULL."""
+    return clean_lines(F.array_join(F.transform(_tokens(html), _token_text), ""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from msgpipe.functions.content import content_text
@@ -28,30 +28,44 @@ def conversation_turns(df: DataFrame) -> DataFrame:
     return _normalized(df).filter(F.col("role") != "system")
 
 
+def _summed(df: DataFrame) -> DataFrame:
+    """Per conversation: system text (NULL if none), number and total length of turns.
+
+    Done in two steps: chunks of turns first, then the chunks, so a long conversation is
+    spread over many tasks before its one text is formed. One pass over the turns.
+    """
+    is_system = F.col("role") == "system"
+
+    def joined(order: str, text: Column) -> Column:
+        ordered = F.array_sort(F.collect_list(
+            F.when(text.isNotNull(), F.struct(order, text.alias("text")))))
+        texts = F.transform(ordered, lambda s: s["text"])
+        return F.when(F.size(texts) > 0, F.array_join(texts, SEPARATOR)).alias("system")
+
+    chunks = _normalized(df).groupBy(
+        "conv_id", F.floor(F.col("turn") / _CHUNK).alias("chunk")).agg(
+        joined("turn", F.when(is_system, F.col("text"))),
+        F.count_if(~is_system).alias("n_turns"),
+        F.coalesce(F.sum(F.when(~is_system, F.length("text"))), F.lit(0)).alias("turn_chars"))
+    return chunks.groupBy("conv_id").agg(
+        joined("chunk", F.col("system")), F.sum("n_turns").alias("n_turns"),
+        F.sum("turn_chars").alias("turn_chars"))
+
+
 def system_prompts(df: DataFrame) -> DataFrame:
     """System texts per conversation in turn order, joined by a blank line.
 
-    Joined in two steps: chunks of turns first, then the chunks, so a long
-    conversation is spread over many tasks before its one text is formed.
     Conversations without system text have no row.
     """
-    system = _normalized(df).filter(F.col("role") == "system")
-
-    def joined(rows, order: str):
-        ordered = F.array_sort(F.collect_list(F.struct(order, "text")))
-        return F.array_join(F.transform(ordered, lambda s: s["text"]), SEPARATOR).alias("text")
-
-    chunks = system.groupBy("conv_id", F.floor(F.col("turn") / _CHUNK).alias("chunk")).agg(
-        joined(system, "turn"))
-    return chunks.groupBy("conv_id").agg(joined(chunks, "chunk")).withColumnRenamed(
-        "text", "system")
+    return _summed(df).where(F.col("system").isNotNull()).select("conv_id", "system")
 
 
 def conversation_payloads(df: DataFrame) -> DataFrame:
     """Per conversation: system text (NULL if none), number and total length of turns."""
-    counted = _normalized(df).groupBy("conv_id").agg(
-        F.count_if(F.col("role") != "system").alias("n_turns"),
-        F.coalesce(F.sum(F.when(F.col("role") != "system", F.length("text"))), F.lit(0))
-        .alias("turn_chars"),
-    )
-    return counted.join(system_prompts(df), "conv_id", "left")
+    return _summed(df).select("conv_id", "n_turns", "turn_chars", "system")
+
+
+def conversation_messages(df: DataFrame) -> DataFrame:
+    """What a model is sent, one turn per row: :func:`conversation_turns` with the
+    conversation's ``system`` text (NULL if none) beside each turn."""
+    return conversation_turns(df).join(system_prompts(df), "conv_id", "left")

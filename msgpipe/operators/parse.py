@@ -12,7 +12,7 @@ from msgpipe.functions import variants as V
 from msgpipe.functions.addresses import addresses
 from msgpipe.functions.dates import epoch_millis, millis_error, millis_to_timestamp
 from msgpipe.functions.headers import HEADERS_TYPE, header_or_empty
-from msgpipe.functions.html import html_to_text, html_to_text_native
+from msgpipe.functions.html import html_error, html_to_text
 from msgpipe.schemas import EMAIL_MESSAGE, carried_error, error_struct, first_error
 
 
@@ -53,12 +53,10 @@ def _date_text(date: Column) -> Column:
         F.coalesce(F.try_variant_get(date, "$", "bigint").cast("string"), F.to_json(date)))
 
 
-def parse_messages(raw: DataFrame, *, exact: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+def parse_messages(raw: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:
     """Parsed message columns plus ``err``; a bad row keeps its id and carries the reason.
 
-    All parsing is native except, with ``exact``, HTML bodies and unusual address
-    headers. Both UDFs run in one Arrow hop and see NULL for rows they are not
-    needed for. ``keep`` names columns of ``raw`` to carry along.
+    All parsing stays in the JVM. ``keep`` names columns of ``raw`` to carry along.
 
     Each step takes apart what the one before found and passes on only what is
     still needed, so large bodies are neither copied nor parsed again.
@@ -105,16 +103,16 @@ def parse_messages(raw: DataFrame, *, exact: bool = True, keep: Sequence[str] =
         "parts_error",
         F.col("plain.error"),
         F.col("html.error"),
+        html_error(F.col("html.text")),
         _optional_text_error(F.col("snip"), "snippet"),
     )
     judged = found.withColumn("err", first_error(F.col("err"), error_struct("parse", problem)))
     ok = F.col("err").isNull()
     page = F.when(ok, F.nullif(F.col("html.text"), F.lit("")))
-    to_text = html_to_text if exact else html_to_text_native
     to_header = F.when(ok, header_or_empty(F.col("headers"), "to"))
     converted = judged.withColumns({
-        "recipients": addresses(to_header, exact=exact),
-        "page_text": F.when(page.isNotNull(), to_text(page)),
+        "recipients": addresses(to_header),
+        "page_text": F.when(page.isNotNull(), html_to_text(page)),
     })
     empty = F.array().cast("array<string>")
     columns = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any, Protocol
@@ -13,7 +14,9 @@ from pyspark.sql import types as T
 from msgpipe.functions import variants as V
 from msgpipe.functions.answers import answer_error, summary_struct
 from msgpipe.functions.content import content_text
+from msgpipe.operators.firsts import first_per_key
 from msgpipe.schemas import carried_error, error_struct, first_error
+from msgpipe.session import stage
 from msgpipe.sources.listing import preview
 
 
@@ -46,13 +49,20 @@ def lookup_responses(messages: DataFrame, responses: DataFrame) -> DataFrame:
     """Join answers by message id; a message without one gets a ``summarize`` error.
 
     Of several answers to one id the last counts, by the responses' ``seq`` if they have
-    one, so each message stays one row.
+    one, so each message stays one row. Which ids repeat is found from the keys alone:
+    answer texts are shuffled only for those, the others go to the join as they are.
     The join side is Spark's choice by measured size: small response tables are
     broadcast, large ones are merged, and AQE splits skewed message ids.
     """
+    given = responses.where(F.col("message_id").isNotNull())
+    repeated = given.groupBy("message_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        "message_id")
     last = F.max_by("answer", "seq") if "seq" in responses.columns else F.max("answer")
-    answers = responses.groupBy("message_id").agg(
-        last.alias("answer"), F.lit(True).alias("answered"))
+    several = given.join(repeated, "message_id", "left_semi").groupBy("message_id").agg(
+        last.alias("answer"))
+    answers = (
+        given.join(repeated, "message_id", "left_anti").select("message_id", "answer")
+        .unionByName(several).withColumn("answered", F.lit(True)))
     joined = messages.join(answers, "message_id", "left")
     missing = F.when(F.col("answered").isNull(), F.concat(
         F.lit("no answer for message_id '"), F.coalesce("message_id", F.lit("")), F.lit("'")))
@@ -90,7 +100,8 @@ REPLY_FIELDS = T.StructType([
 ])
 
 
-def _answer_batches(make_responder: Callable[[], Responder], system: str | None):
+def _answer_batches(make_responder: Callable[[], Responder], system: str | None,
+                    in_flight: int):
     """mapInPandas function: one responder per task, one guarded call per row."""
 
     def error_text(error):
@@ -126,34 +137,35 @@ def _answer_batches(make_responder: Callable[[], Responder], system: str | None)
             return None, None, None, None, error_text(error), traceback.format_exc()
 
     def batches(frames):
+        from concurrent.futures import ThreadPoolExecutor
+
         import pandas as pd
 
         respond = make_responder()
         names = ["reply", "stop_reason", "tokens_prompt", "tokens_completion",
                  "failure", "traceback", "duration_ms"]
-        for frame in frames:
-            rows = [
-                (None,) * len(names) if failed else answer(respond, prompt)
-                for prompt, failed in zip(frame["prompt"], frame["failed"])
-            ]
-            replies = pd.DataFrame(rows, columns=names, index=frame.index, dtype=object)
-            yield pd.concat([frame.drop(columns=["prompt", "failed"]), replies], axis=1)
+        skipped = (None,) * len(names)
 
-    return batches
+        def one(row):
+            prompt, failed = row
+            return skipped if failed else answer(respond, prompt)
 
+        with ThreadPoolExecutor(in_flight) as pool:
+            ask = pool.map if in_flight > 1 else map
+            # The next frame is not fetched before this one is answered and handed on.
+            for frame in frames:
+                rows = list(ask(one, zip(frame["prompt"], frame["failed"])))
+                replies = pd.DataFrame(rows, columns=names, index=frame.index, dtype=object)
+                yield pd.concat([frame.drop(columns=["prompt", "failed"]), replies], axis=1)
 
-def respond_with(messages: DataFrame, make_responder: Callable[[], Responder], *,
-                 system: str | None = None, keep: Sequence[str] = ("message_id", "subject"),
-                 parallelism: int | None = None) -> DataFrame:
-    """Ask a responder once per message that has no error yet.
+    return batches
 
-    ``make_responder`` runs once per task, so it can open its client there;
-    ``parallelism`` spreads the calls over that many tasks.
-    Needs ``prompt``; only the ``keep`` columns travel to Python and back. Every
-    failed call becomes that row's ``summarize`` error with its traceback, and
-    ``duration_ms`` holds how long the call took. Stage the result before using it twice.
-    """
-    # One task asks one message at a time, so more tasks mean more calls in flight.
+
+def _ask(messages: DataFrame, make_responder: Callable[[], Responder], system: str | None,
+         keep: Sequence[str], parallelism: int | None, in_flight: int) -> DataFrame:
+    """The ``keep`` columns, ``err`` and the raw reply of every message."""
+    if in_flight < 1:
+        raise ValueError(f"in_flight must be at least 1, got {in_flight}")
     narrow = messages.select(
         *keep, carried_error(messages).alias("err"), "prompt",
         carried_error(messages).isNotNull().alias("failed"))
@@ -161,12 +173,73 @@ def respond_with(messages: DataFrame, make_responder: Callable[[], Responder], *
         narrow = narrow.repartition(parallelism)
     schema = T.StructType([
         *(f for f in narrow.schema if f.name not in ("prompt", "failed")), *REPLY_FIELDS])
-    replies = narrow.mapInPandas(_answer_batches(make_responder, system), schema)
+    return narrow.mapInPandas(_answer_batches(make_responder, system, in_flight), schema)
+
+
+def _answered(replies: DataFrame) -> DataFrame:
     failure = error_struct("summarize", F.col("failure"), F.col("traceback"))
     return answer_text(replies.withColumn("err", first_error(F.col("err"), failure))).drop(
         "failure", "traceback")
 
 
+def respond_with(messages: DataFrame, make_responder: Callable[[], Responder], *,
+                 system: str | None = None, keep: Sequence[str] = ("message_id", "subject"),
+                 parallelism: int | None = None, in_flight: int = 1) -> DataFrame:
+    """Ask a responder once per message that has no error yet.
+
+    ``make_responder`` runs once per task, so it can open its client there;
+    ``parallelism`` spreads the calls over that many tasks, and each task has up to
+    ``in_flight`` calls under way, from as many threads; the rows keep their order. A task
+    holds one batch of rows at a time (spark.sql.execution.arrow.maxRecordsPerBatch).
+    Needs ``prompt``; only the ``keep`` columns travel to Python and back. Every
+    failed call becomes that row's ``summarize`` error with its traceback, and
+    ``duration_ms`` holds how long the call took. Stage the result before using it twice.
+    """
+    return _answered(_ask(messages, make_responder, system, keep, parallelism, in_flight))
+
+
+def respond_kept(messages: DataFrame, make_responder: Callable[[], Responder], path: str, *,
+                 system: str | None = None, keep: Sequence[str] = ("message_id", "subject"),
+                 parallelism: int | None = None, in_flight: int = 1,
+                 waves: int = 8) -> DataFrame:
+    """:func:`respond_with`, with every reply kept below ``path`` for the next run.
+
+    A reply belongs to its prompt and system text. Messages are asked in ``waves``, each
+    written when it ends, so a run that breaks off loses one wave at most and the next one
+    asks only what is missing. Calls that failed are asked again by the next run. Messages with the
+    same prompt share one call.
+    """
+    if waves < 1:
+        raise ValueError(f"waves must be at least 1, got {waves}")
+    spark = messages.sparkSession
+    run = uuid.uuid4().hex
+    asked = F.sha2(F.concat_ws("\0", F.lit(system), "prompt"), 256)
+    schema = T.StructType([T.StructField("asked", T.StringType()),
+                           T.StructField("run", T.StringType()), *REPLY_FIELDS])
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    # Every wave reads the prompts; they are rendered once.
+    messages = stage(messages.select(*keep, carried_error(messages).alias("err"), "prompt"),
+                     "prompts")
+    open_ = messages.where(carried_error(messages).isNull()).select(
+        asked.alias("asked"), "prompt")
+    for wave in range(waves):
+        own = open_.where(F.pmod(F.xxhash64("asked"), F.lit(waves)) == wave)
+        kept = spark.read.schema(schema).parquet(path).where("failure is null").select("asked")
+        missing = own.join(kept, "asked", "left_anti").groupBy("asked").agg(
+            F.any_value("prompt").alias("prompt"))
+        (_ask(missing, make_responder, system, ("asked",), parallelism, in_flight)
+         .select("asked", F.lit(run).alias("run"), *REPLY_FIELDS.names)
+         .write.mode("append").parquet(path))
+    # A reply beats a failure; of failures only this run's count.
+    replies = spark.read.schema(schema).parquet(path).where(
+        (F.col("failure").isNull()) | (F.col("run") == run))
+    first = first_per_key(replies, "asked", [F.col("failure").isNotNull(), "run"]).drop("run")
+    return _answered(
+        messages.select(*keep, carried_error(messages).alias("err"), F.when(
+            carried_error(messages).isNull(), asked).alias("asked"))
+        .join(first, "asked", "left").drop("asked"))
+
+
 def answer_text(replies: DataFrame) -> DataFrame:
     """Replies (JSON of content) to answer text; a reply without text is an error.
 

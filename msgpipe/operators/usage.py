@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from msgpipe.session import stage
+
 METRICS = ("tokens_prompt", "tokens_completion")
-# Steps per block of a running total; see running_usage.
+# Steps of a message that one window sums up; see running_usage.
 BLOCK_STEPS = 10_000
 
 
@@ -20,35 +22,48 @@ def token_usage(calls: DataFrame, key: str = "message_id") -> DataFrame:
 
 def running_usage(calls: DataFrame, key: str = "message_id", step: str = "step",
                   tie_break: Sequence[str] = (), block_steps: int = BLOCK_STEPS) -> DataFrame:
-    """Running token totals after every step of a message.
+    """Running token totals after every step of a message; equal steps in any order.
 
-    The window runs per message and block of steps, so a message with very many
-    steps is spread over many tasks; what earlier blocks add up to is joined in.
-    Only messages longer than one block have such rows.
+    Messages of up to ``block_steps`` steps take one window each. Longer ones, if a count of
+    the keys finds any, are dealt to ranges of their steps, equal and NULL steps too, so that
+    a message of any length is spread over many tasks; a range starts from the sums of the ranges
+    before it, one row per message and range.
     """
-    blocked = calls.withColumn("block", F.floor(F.col(step) / block_steps))
-    within = (W.partitionBy(key, "block").orderBy(step, *tie_break)
-              .rowsBetween(W.unboundedPreceding, W.currentRow))
-    running = blocked.withColumns({m: F.sum(m).over(within) for m in METRICS})
-
-    earlier = (W.partitionBy(key).orderBy("block")
-               .rowsBetween(W.unboundedPreceding, -1))
-    block_totals = blocked.groupBy(key, "block").agg(*(F.sum(m).alias(m) for m in METRICS))
-    carried = (
-        block_totals
-        .select(key, "block", F.count(F.lit(1)).over(earlier).alias("blocks_before"),
-                *(F.sum(m).over(earlier).alias(f"{m}_before") for m in METRICS))
-        .filter("blocks_before > 0").drop("blocks_before")
-    )
-
-    def added(metric: str):
+    sizes = calls.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_steps)
+    total = sizes.agg(F.sum("n")).first()[0]
+    if total is None:
+        return _running(calls, [key], [step, *tie_break])
+    longest = sizes.select(F.col(key).alias("long_key"))
+    is_long = F.col(key).eqNullSafe(F.col("long_key"))
+    short = calls.join(longest, is_long, "left_anti")
+    # A place tells equal steps apart; staged, since neither it nor the ranges would come out
+    # the same twice.
+    order = [step, *tie_break, "place"]
+    ranges = stage(
+        calls.join(longest, is_long, "left_semi")
+        .withColumn("place", F.monotonically_increasing_id())
+        .repartitionByRange(max(2, -(-total // block_steps)), key, *order)
+        .withColumn("range", F.spark_partition_id()), "long-messages")
+    sums = ranges.groupBy(key, "range").agg(*(F.sum(m).alias(m) for m in METRICS))
+    earlier = W.partitionBy(key).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    carried = sums.select(
+        F.col(key).alias("long_key"), F.col("range").alias("long_range"),
+        *(F.sum(m).over(earlier).alias(f"{m}_before") for m in METRICS))
+
+    def added(metric: str) -> Column:
         before, here = F.col(f"{metric}_before"), F.col(metric)
         known = F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0))
         return F.when(before.isNotNull() | here.isNotNull(), known)
 
-    return (running.join(carried, [key, "block"], "left")
-            .withColumns({m: added(m) for m in METRICS})
-            .select(*calls.columns))
+    long = _running(ranges, [key, "range"], order).join(
+        carried, is_long & (F.col("range") == F.col("long_range"))).withColumns(
+        {m: added(m) for m in METRICS})
+    return _running(short, [key], [step, *tie_break]).unionByName(long.select(*calls.columns))
+
+
+def _running(calls: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    window = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return calls.withColumns({m: F.sum(m).over(window) for m in METRICS})
 
 
 def run_totals(records: DataFrame, *, dead_letters: int = 0, dropped: int = 0) -> DataFrame:
@@ -61,6 +76,15 @@ def run_totals(records: DataFrame, *, dead_letters: int = 0, dropped: int = 0) -
     )
 
 
+def known_totals(spark: SparkSession, processed: int, dead_letters: int, dropped: int,
+                 tokens_prompt: int | None, tokens_completion: int | None) -> DataFrame:
+    """:func:`run_totals` from counts that were observed on the way."""
+    return spark.createDataFrame(
+        [(processed, dead_letters, dropped, tokens_prompt, tokens_completion)],
+        "messages_processed bigint, messages_dlq bigint, messages_dlq_dropped bigint, "
+        + ", ".join(f"{m}_sum bigint" for m in METRICS))
+
+
 def outcome_counts(df: DataFrame) -> DataFrame:
     """One row over carried errors: successes, and failures by stage."""
     from msgpipe.schemas import STAGES

@@ -22,17 +22,19 @@ REPLAY_TIME = datetime(2026, 1, 1, tzinfo=UTC)
 
 
 def replay(raw: DataFrame, responses: DataFrame, model: str,
-           order: Sequence[str] = ("origin", "position")) -> DataFrame:
+           order: Sequence[str] = ("origin", "position"),
+           keep: Sequence[str] = ()) -> DataFrame:
     """Records of a message set whose answers are all prepared; any failure fails the job.
 
     Answers missing for any message are reported before anything is computed. The
-    ``order`` columns of ``raw`` are kept for numbering.
+    ``order`` columns of ``raw`` are kept for numbering, those of ``keep`` as by
+    :func:`~msgpipe.plans.batch.summarize`.
     """
     require_responses(raw, responses)
-    outcomes = summarize(raw, model, now=REPLAY_TIME, responses=responses, keep=order)
+    outcomes = summarize(raw, model, now=REPLAY_TIME, responses=responses, keep=[*order, *keep])
     failed = F.concat_ws(": ", "source_message_id", "err.stage", "err.error")
     checked = refuse(outcomes, F.when(F.col("err").isNotNull(), failed))
-    return checked.select(*SUMMARY_RECORD.names, *order)
+    return checked.select(*SUMMARY_RECORD.names, *order, *keep)
 
 
 def replay_folder(spark: SparkSession, folder: str, output: str, model: str) -> DataFrame:

@@ -84,6 +84,7 @@ SCHEMAS = {
     "email_message": EMAIL_MESSAGE,
     "summary": SUMMARY,
     "summary_record": SUMMARY_RECORD,
+    "stored_record": STORED_RECORD,
     "dead_letter": DEAD_LETTER,
 }
 
@@ -115,6 +116,14 @@ DEFAULTS: dict[str, dict[str, Callable[[Column], Column]]] = {
         "tokens_completion": lambda now: F.lit(None),
         "created_at": lambda now: now,
     },
+    "stored_record": {
+        "subject": lambda now: F.lit(""),
+        "key_points": lambda now: _empty_list(),
+        "action_items": lambda now: _empty_list(),
+        "tokens_prompt": lambda now: F.lit(None),
+        "tokens_completion": lambda now: F.lit(None),
+        "created_at": lambda now: now,
+    },
     "dead_letter": {
         "source_message_id": lambda now: F.lit(None),
         "traceback": lambda now: F.lit(""),
@@ -159,6 +168,12 @@ CONSTRAINTS: dict[str, list[tuple[str, Callable[[], Column]]]] = {
         _empty("summary.category"), _empty("model"),
         _negative("tokens_prompt"), _negative("tokens_completion"), _missing("created_at"),
     ],
+    "stored_record": [
+        _empty("source_message_id"), _missing("subject"), _empty("tl_dr"), _empty("summary"),
+        _null_item("key_points"), _null_item("action_items"), _empty("category"),
+        _empty("model"), _negative("tokens_prompt"), _negative("tokens_completion"),
+        _missing("created_at"),
+    ],
     "dead_letter": [
         ("stage must be one of " + ", ".join(STAGES),
          lambda: ~F.coalesce(F.col("stage").isin(*STAGES), F.lit(False))),

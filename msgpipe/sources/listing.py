@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from msgpipe.functions.dates import epoch_millis, millis_to_timestamp
@@ -42,14 +42,14 @@ def resolve_label(labels: DataFrame, name: str) -> str:
     return found
 
 
-def message_index(raw: DataFrame) -> DataFrame:
-    """Id, labels and time of raw messages, the columns a listing needs."""
+def message_index(raw: DataFrame, *more: Column) -> DataFrame:
+    """Id, labels and time of raw messages, the columns a listing needs, and any ``more``."""
     millis = epoch_millis(F.try_variant_get("payload", "$.internalDate", "string"))
     return raw.select(
         "message_id",
         F.coalesce(F.try_variant_get("payload", "$.labelIds", "array<string>"),
                    F.array().cast("array<string>")).alias("labels"),
-        millis_to_timestamp(millis).alias("received_at"),
+        millis_to_timestamp(millis).alias("received_at"), *more,
     )
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgpipe.functions import variants as V
 from msgpipe.functions.checks import refuse
-from msgpipe.schemas import RAW_MESSAGE, error_struct
+from msgpipe.operators.firsts import first_per_key
+from msgpipe.schemas import RAW_MESSAGE, carried_error, error_struct, first_error
 
 # Files of a message folder that are not messages.
 RESPONSES_FILE = "llm_responses.json"
@@ -95,27 +98,33 @@ def read_message_table(spark: SparkSession, path: str) -> DataFrame:
     return from_table(spark.read.parquet(path))
 
 
-def get_messages(raw: DataFrame, ids: DataFrame) -> DataFrame:
-    """Resolve requested ids to payloads, one row per request.
+def get_messages(raw: DataFrame, ids: DataFrame, *, order: Sequence[str] = ()) -> DataFrame:
+    """Resolve requested ids to payloads: one row per request, whatever ``raw`` repeats.
+
+    ``ids`` has a ``message_id`` column. An empty or unknown id is a ``read`` error of
+    that row; an error that ``raw`` carries stays. Of several versions of a message the
+    first by the columns ``order`` counts, which are carried along; without them the choice
+    is fixed but arbitrary, a readable version before any other.
 
-    ``ids`` has a ``message_id`` column. An empty or unknown id is a ``read``
-    error of that row. The semi join cuts the raw table down first, so a short
-    list is broadcast (Spark checks its size) and the large table is not shuffled.
-    Empty ids, possibly many, take no part in the joins.
+    The semi join cuts the raw table down first, so a short list is broadcast (Spark
+    checks its size) and the large table is not shuffled. Empty ids, possibly many, take
+    no part in the joins.
     """
     requested = ids.select(F.coalesce("message_id", F.lit("")).alias("message_id"))
     named = requested.filter("message_id <> ''")
-    hits = (
-        raw.select("message_id", "payload").join(named, "message_id", "left_semi")
-        .withColumn("found", F.lit(True))
-    )
+    hits = raw.select("message_id", "payload", carried_error(raw).alias("err"), *order).join(
+        named, "message_id", "left_semi")
+    ranks = list(order) or [F.col("err").isNotNull(), F.to_json("payload"), F.to_json("err")]
+    found = first_per_key(hits, "message_id", ranks).withColumn("found", F.lit(True))
     unknown = F.when(F.col("found").isNull(), F.concat(
         F.lit("unknown message_id: '"), F.col("message_id"), F.lit("'")))
-    resolved = named.join(hits, "message_id", "left").select(
-        "message_id", "payload", error_struct("read", unknown).alias("err"))
+    resolved = named.join(found, "message_id", "left").select(
+        "message_id", "payload",
+        first_error(F.col("err"), error_struct("read", unknown)).alias("err"), *order)
     unnamed = requested.filter("message_id = ''").select(
         "message_id", F.lit(None).cast("variant").alias("payload"),
-        error_struct("read", F.lit("no message_id given")).alias("err"))
+        error_struct("read", F.lit("no message_id given")).alias("err"),
+        *(F.lit(None).cast(raw.schema[c].dataType).alias(c) for c in order))
     return resolved.unionByName(unnamed)
 
 

@@ -33,7 +33,8 @@ from msgpipe.operators.respond import (
     respond_with,
     validate_answers,
 )
-from msgpipe.operators.store import KEY, Store, new_rows
+from msgpipe.operators.firsts import first_per_key
+from msgpipe.operators.store import KEY, Store
 from msgpipe.operators.timing import slo_breaches, slowest_message, timing_summary
 from msgpipe.operators.usage import (
     completion_lines,
@@ -318,8 +319,6 @@ def insert_or_ignore(spark, sf_dir):
 
 def first_version(spark, sf_dir):
     """Both deliveries as one batch: the first version of every order."""
-    from msgpipe.operators.store import first_per_key
-
     return first_per_key(inputs.order_records(spark, sf_dir), KEY, ["delivery"]).select(
         KEY, "subject", "delivery")
 

@@ -46,8 +46,8 @@ def folder(path, messages, answers, poison=True):
 
 
 def samples(spark, path):
-    rows = spark.read.text(path, wholetext=True).collect()
-    return {r.sample_name: json.loads(r.value) for r in rows}
+    rows = spark.read.text(path, wholetext=True).select("_metadata.file_name", "value").collect()
+    return {r.file_name: json.loads(r.value) for r in rows}
 
 
 def test_offline_replay(spark, tmp_path):

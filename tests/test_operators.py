@@ -23,7 +23,8 @@ from msgpipe.operators.respond import (
     respond_with,
     validate_answers,
 )
-from msgpipe.operators.store import Store, first_per_key, new_rows
+from msgpipe.operators.firsts import first_per_key, new_rows
+from msgpipe.operators.store import Store
 from msgpipe.operators.timing import slo_breaches, slowest_message, timing_summary
 from msgpipe.operators.usage import (
     completion_lines,
