@@ -84,11 +84,11 @@ def split(df: DataFrame, now: Column, *, stage_mode: str = "true",
     return records_of(df, keep), dead_letters_of(df, now, stage_mode=stage_mode)
 
 
-def flatten_records(records: DataFrame) -> DataFrame:
-    """Nested records to the stored columns."""
+def flatten_records(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Nested records to the stored columns; ``keep`` names columns to carry along."""
     return records.select(*(
         F.col(f"summary.{n}" if n in SUMMARY.names else n).alias(n)
-        for n in STORED_RECORD.names))
+        for n in STORED_RECORD.names), *keep)
 
 
 def unflatten_records(stored: DataFrame) -> DataFrame:

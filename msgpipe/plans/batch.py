@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from msgpipe.functions.prompt import render_prompt
 from msgpipe.functions.redaction import DEFAULT_RULES, RedactionRule, redact_message
 from msgpipe.operators.export import emit_records
+from msgpipe.operators.firsts import first_per_key
 from msgpipe.operators.parse import parse_messages
 from msgpipe.operators.records import assemble_records, split
 from msgpipe.operators.respond import (
@@ -174,5 +175,8 @@ def run_label_batch(raw: DataFrame | Archive, labels: DataFrame, label: str, sto
     if isinstance(raw, Archive):
         return ingest(raw.fetch(raw.newest(label_id, limit)), store, model,
                       order=("appended",), **options)
-    ids = list_messages(message_index(raw), label_id, limit)
+    index = message_index(raw, *(F.col(c) for c in order))
+    if order:
+        index = first_per_key(index, "message_id", order)
+    ids = list_messages(index, label_id, limit)
     return ingest(get_messages(raw, ids, order=order), store, model, order=order, **options)

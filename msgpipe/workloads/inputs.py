@@ -84,27 +84,39 @@ def _multi(mime: str, *parts: Column) -> Column:
     return F.struct(F.lit(mime).alias("mimeType"), F.array(*parts).alias("parts"))
 
 
+def markup(text: Column) -> Column:
+    """A page whose text is ``text``."""
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return _text("<html><body><div>", text, "</div></body></html>")
+
+
+def _dated(number: Column, millis: Column, broken: bool) -> Column:
+    """Time as text; with ``broken`` some are missing and some unreadable."""
+    date = millis.cast("string")
+    if not broken:
+        return date
+    return F.when((number % 13) != 7, F.when(
+        (number % 11) == 5, _text("not-a-date-", number)).otherwise(date))
+
+
+def _headers(**values: Column) -> Column:
+    return F.array(*(F.struct(F.lit(n.replace("_", "-")).alias("name"), v.alias("value"))
+                     for n, v in values.items()))
+
+
 def raw_json(spark: SparkSession, sf_dir: str, *, broken: bool) -> DataFrame:
     """Documents and pages as raw resources in JSON text, up to three levels deep.
 
-    Shapes rotate: flat plain; plain and HTML; the same below a mixed part with
+    Every document has its whole text in its body, every page is a message of its own.
+    Shapes of documents rotate: flat plain; plain and HTML; the same below a mixed part with
     an attachment; HTML only with an inline image. With ``broken`` some dates are
     unreadable or missing.
     """
     docs = table(spark, sf_dir, "documents")
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
-    rows = docs.join(pages, "doc_id", "left")
-    page = F.coalesce("html", _text("<html><body><p>Page for ", F.col("doc_id"),
-                                    " &amp; more</p></body></html>"))
-    headers = F.array(*(
-        F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in (
-            ("From", _sender()), ("SUBJECT", F.lit("superseded")), ("Subject", _subject()),
-            ("To", _text("Team <team-", F.col("lang"), "@example.com>, ops+",
-                         F.col("source"), "@example.com")))))
-    date = _millis().cast("string")
-    if broken:
-        date = F.when(~_every("doc_id", 13, 7), F.when(
-            _every("doc_id", 11, 5), _text("not-a-date-", F.col("doc_id"))).otherwise(date))
+    headers = _headers(From=_sender(), SUBJECT=F.lit("superseded"), Subject=_subject(), To=_text(
+        "Team <team-", F.col("lang"), "@example.com>, ops+", F.col("source"), "@example.com"))
+    date = _dated(F.col("doc_id"), _millis(), broken)
 
     def resource(body: dict[str, Column]) -> Column:
         payload = F.struct(headers.alias("headers"), *(c.alias(n) for n, c in body.items()))
@@ -113,7 +125,7 @@ def raw_json(spark: SparkSession, sf_dir: str, *, broken: bool) -> DataFrame:
             F.array(F.lit("INBOX"), F.col("source")).alias("labelIds"),
             date.alias("internalDate"), _snippet().alias("snippet"), payload.alias("payload")))
 
-    plain, html = _leaf("text/plain", F.col("text")), _leaf("text/html", page)
+    plain, html = _leaf("text/plain", F.col("text")), _leaf("text/html", markup(F.col("text")))
     pdf = _leaf("application/pdf", None, _text("report-", F.col("doc_id"), ".pdf"))
     flat = {"mimeType": F.lit("text/plain"),
             "body": F.struct(base64url(F.col("text")).alias("data"))}
@@ -123,9 +135,30 @@ def raw_json(spark: SparkSession, sf_dir: str, *, broken: bool) -> DataFrame:
     page_only = {"mimeType": F.lit("multipart/mixed"), "parts": F.array(
         _with_parts(_multi("multipart/related", html, _leaf("image/png", None, "pic.png"))))}
     shape = F.col("doc_id") % 4
-    return rows.select(message_id(), F.when(shape == 0, resource(flat))
-                       .when(shape == 1, resource(both)).when(shape == 2, resource(deep))
-                       .otherwise(resource(page_only)).alias("payload"))
+    documents = docs.select(message_id(), F.when(shape == 0, resource(flat))
+                            .when(shape == 1, resource(both)).when(shape == 2, resource(deep))
+                            .otherwise(resource(page_only)).alias("payload"))
+    return documents.unionByName(_page_json(spark, sf_dir, broken))
+
+
+def _page_json(spark: SparkSession, sf_dir: str, broken: bool) -> DataFrame:
+    """Pages as flat HTML messages."""
+    number = F.col("page_id")
+    headers = _headers(From=F.lit("Crawler <crawler@web.example.net>"),
+                       Subject=_text("Page ", number), To=F.lit("archive@example.com"))
+    date = _dated(number, F.lit(BASE_MILLIS) + number * 60_000 + 30_000, broken)
+    payload = F.struct(
+        headers.alias("headers"), F.lit("text/html").alias("mimeType"),
+        F.struct(base64url(F.col("html")).alias("data")).alias("body"))
+    return table(spark, sf_dir, "pages").select(
+        page_message_id(), F.to_json(F.struct(
+            _text("page-", number).alias("id"), F.array(F.lit("INBOX"), F.lit("web"))
+            .alias("labelIds"), date.alias("internalDate"), payload.alias("payload")))
+        .alias("payload"))
+
+
+def page_message_id() -> Column:
+    return _text("page-", F.col("page_id")).alias("message_id")
 
 
 def _with_parts(part: Column) -> Column:
@@ -136,7 +169,14 @@ def _with_parts(part: Column) -> Column:
 
 
 def prepared_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A valid answer for every document."""
+    """A valid answer for every document and page."""
+    pages = table(spark, sf_dir, "pages").select(page_message_id(), F.to_json(F.struct(
+        _text("Page ", F.col("page_id")).alias("tl_dr"), F.col("url").alias("summary"),
+        F.lit("page").alias("category"))).alias("answer"))
+    return _document_answers(spark, sf_dir).unionByName(pages)
+
+
+def _document_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(message_id(), F.to_json(F.struct(
         _text("Document ", F.col("doc_id"), " by ", F.col("source"), "@example.org")
         .alias("tl_dr"),

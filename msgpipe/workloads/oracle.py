@@ -84,8 +84,6 @@ DEFECT = (
     "WHEN 3 THEN 'tl_dr is empty' WHEN 4 THEN 'unknown fields: extra' "
     "WHEN 5 THEN 'category is not text' WHEN 6 THEN 'key_points is not a list of strings' END"
 )
-PAGE = "coalesce(html, '<html><body><p>Page for ' || doc_id || ' &amp; more</p></body></html>')"
-WITH_PAGES = "documents LEFT JOIN pages ON page_id = doc_id"
 ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.%f') || 'Z'"
 CALL_PROMPT = "CASE WHEN l_tax > 0 THEN CAST(l_quantity AS BIGINT) END"
 CALL_COMPLETION = "CASE WHEN l_discount > 0 THEN l_partkey END"
@@ -121,11 +119,12 @@ def _order_store() -> str:
         FROM orders"""
 
 
-def _parsed_text() -> str:
-    plain = _strip("text")
-    html = _html_text(_strip(PAGE))
-    return (f"CASE WHEN doc_id % 4 <> 3 AND {plain} <> '' THEN {plain} "
-            f"WHEN doc_id % 4 = 0 THEN '' ELSE {html} END")
+def _lines(expr: str) -> str:
+    """Lines of a text, stripped, blank ones left out."""
+    breaks = r"[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+    lines = (f"list_filter(list_transform(regexp_split_to_array({expr}, '{breaks}'), "
+             f"lambda l: {_strip('l')}), lambda l: l <> '')")
+    return f"coalesce(list_aggregate({lines}, 'string_agg', chr(10)), '')"
 
 
 ATTACHMENTS = "CASE doc_id % 4 WHEN 2 THEN 'report-' || doc_id || '.pdf' " \
@@ -139,6 +138,30 @@ def _prompt(subject: str, sender: str, body: str) -> str:
             f"|| 'From: ' || {sender} || chr(10) || 'Body:' || chr(10) || {body}")
 
 
+# Documents and pages as messages.
+PAGE_PROBLEM = DATE_ERROR.replace("doc_id", "page_id")
+MESSAGES = f"""m AS (
+    SELECT {ID} AS message_id, doc_id AS n, {SUBJECT} AS subject, {MASKED_SUBJECT} AS masked,
+           {SENDER} AS sender, 'Desk ' || source || ' <[scrubbed]@example.com>' AS masked_sender,
+           'team-' || lang || '@example.com|ops+' || source || '@example.com' AS recipients,
+           {THREAD} AS thread_id, 'INBOX|' || source AS labels, {MILLIS} AS millis,
+           {SNIPPET} AS snippet, {DATE_ERROR} AS problem,
+           CASE doc_id % 4 WHEN 2 THEN 'report-' || doc_id || '.pdf' WHEN 3 THEN 'pic.png'
+                ELSE '' END AS files,
+           CASE WHEN doc_id % 4 <> 3 AND {_strip("text")} <> '' THEN {_strip("text")}
+                WHEN doc_id % 4 = 0 THEN '' ELSE {_lines("text")} END AS body,
+           'Document ' || doc_id || ' by ' || source || '@example.org' AS tl_dr, text AS answer,
+           lang AS category, {_json_list("lang", "source")} AS key_points
+    FROM documents
+    UNION ALL
+    SELECT 'page-' || page_id, page_id, 'Page ' || page_id, 'Page ' || page_id,
+           'Crawler <crawler@web.example.net>', 'Crawler <[scrubbed]@example.com>',
+           'archive@example.com', NULL, 'INBOX|web',
+           {BASE_MILLIS} + page_id * 60000 + 30000, NULL, {PAGE_PROBLEM}, '',
+           {_html_text(_strip("html"))}, 'Page ' || page_id, url, 'page', '[]'
+    FROM pages)"""
+
+
 ORACLE = {
     "redact_documents": f"SELECT doc_id, {_redact('text')} AS text FROM documents",
     "redact_hits_by_lang": f"""
@@ -198,30 +221,34 @@ ORACLE = {
                                || 'application/pdf'
                    ELSE 'multipart/mixed|multipart/related|text/html|image/png' END AS types,
                {ATTACHMENTS} AS attachments,
-               CASE WHEN doc_id % 4 = 3 THEN '' ELSE {_strip('text')} END AS plain
-        FROM documents""",
+               CASE WHEN doc_id % 4 = 3 THEN '' ELSE {_strip('text')} END AS plain,
+               CASE WHEN doc_id % 4 = 0 THEN '' ELSE '<html><body><div>' || replace(replace(replace(
+                   text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</div></body></html>' END
+                   AS html
+        FROM documents
+        UNION ALL
+        SELECT 'page-' || page_id, 1, 'text/html', '', '', {_strip('html')} FROM pages""",
     "parse_messages": f"""
-        WITH m AS (SELECT *, {DATE_ERROR} AS problem FROM {WITH_PAGES})
-        SELECT {ID} AS message_id,
-               CASE WHEN problem IS NULL THEN {THREAD} END AS thread_id,
-               CASE WHEN problem IS NULL THEN {SUBJECT} END AS subject,
-               CASE WHEN problem IS NULL THEN {SENDER} END AS sender,
-               CASE WHEN problem IS NULL THEN 'team-' || lang || '@example.com|ops+' || source
-                    || '@example.com' END AS recipients,
-               CASE WHEN problem IS NULL THEN 'INBOX|' || source END AS labels,
+        WITH {MESSAGES}
+        SELECT message_id,
+               CASE WHEN problem IS NULL THEN thread_id END AS thread_id,
+               CASE WHEN problem IS NULL THEN subject END AS subject,
+               CASE WHEN problem IS NULL THEN sender END AS sender,
+               CASE WHEN problem IS NULL THEN recipients END AS recipients,
+               CASE WHEN problem IS NULL THEN labels END AS labels,
                CASE WHEN problem IS NULL THEN
-                    {ISO.format(f'make_timestamp({MILLIS} * 1000)')} END AS received_at,
-               CASE WHEN problem IS NULL THEN {_parsed_text()} END AS body_text,
-               CASE WHEN problem IS NULL THEN {SNIPPET} END AS snippet,
-               CASE WHEN problem IS NULL THEN {ATTACHMENTS} END AS attachment_filenames,
+                    {ISO.format('make_timestamp(millis * 1000)')} END AS received_at,
+               CASE WHEN problem IS NULL THEN body END AS body_text,
+               CASE WHEN problem IS NULL THEN snippet END AS snippet,
+               CASE WHEN problem IS NULL THEN files END AS attachment_filenames,
                CASE WHEN problem IS NOT NULL THEN 'parse' END AS stage, problem AS error
         FROM m""",
     "label_resolve_list": f"""
         SELECT {ID} AS message_id FROM documents WHERE source = 'src7'
         ORDER BY {MILLIS} DESC, {ID} LIMIT 5""",
     "label_index": f"""
-        SELECT unnest(['INBOX', source]) AS label_id, {ID} AS message_id, {MILLIS} AS millis
-        FROM documents""",
+        WITH {MESSAGES}
+        SELECT unnest(string_split(labels, '|')) AS label_id, message_id, millis FROM m""",
     "fetch_by_ids": f"""
         WITH ids AS (
             SELECT CASE WHEN o_orderkey % 10 <> 9 THEN o_orderkey * 2 END AS want FROM orders)
@@ -298,15 +325,70 @@ ORACLE = {
                'no valid summary: ' || {DEFECT} AS error, '' AS traceback, {CLOCK} AS failed_at
         FROM documents WHERE doc_id % 7 <> 0""",
     "dead_letter_split": f"""
-        WITH m AS (SELECT {STATUS} AS parse_failed, doc_id FROM documents)
-        SELECT count(*) FILTER (parse_failed = 0 AND doc_id % 7 = 0) AS processed,
-               count(*) FILTER (parse_failed <> 0 OR doc_id % 7 <> 0) AS failed,
-               CAST(0 AS BIGINT) AS failed_read,
-               count(*) FILTER (parse_failed <> 0) AS failed_parse,
-               count(*) FILTER (parse_failed = 0 AND doc_id % 7 <> 0) AS failed_summarize,
+        WITH {MESSAGES}, o AS (SELECT problem IS NOT NULL AS unread,
+            message_id LIKE 'doc-%' AND n % 7 = 0 AS valid FROM m)
+        SELECT count(*) FILTER (NOT unread AND valid) AS processed,
+               count(*) FILTER (unread OR NOT valid) AS failed, CAST(0 AS BIGINT) AS failed_read,
+               count(*) FILTER (unread) AS failed_parse,
+               count(*) FILTER (NOT unread AND NOT valid) AS failed_summarize,
                CAST(0 AS BIGINT) AS failed_persist
-        FROM m""",
+        FROM o""",
     "insert_or_ignore": _order_store(),
+    "indexed_append": _order_store(),
+    "persist_isolated": f"""
+        SELECT 'record' AS kind, {ID} AS message_id, NULL AS stage, 'text: ' || text AS content
+        FROM documents WHERE doc_id % 331 <> 7
+        UNION ALL
+        SELECT 'dead letter', {ID}, 'persist', 'cannot write doc-' || doc_id
+        FROM documents WHERE doc_id % 331 = 7""",
+    "append_invalid": f"""
+        WITH r AS (SELECT doc_id, text, CASE
+            WHEN doc_id % 17 = 3 THEN 'source_message_id must not be empty'
+            WHEN doc_id % 23 = 5 THEN 'model must not be empty'
+            WHEN doc_id % 19 = 4 AND doc_id > 0 THEN 'tokens_prompt must not be negative'
+            END AS refusal FROM documents)
+        SELECT 'record' AS kind, {ID} AS message_id, NULL AS stage, 'text: ' || text AS content
+        FROM r WHERE refusal IS NULL
+        UNION ALL
+        SELECT 'dead letter', CASE WHEN doc_id % 17 <> 3 THEN {ID} END, 'persist', refusal
+        FROM r, (VALUES (1), (2)) runs(k) WHERE refusal IS NOT NULL""",
+    "stream_replay": f"""
+        WITH {MESSAGES}
+        SELECT 'record' AS kind, message_id, NULL AS stage, answer AS content
+        FROM m WHERE problem IS NULL
+        UNION ALL
+        SELECT 'dead letter', message_id, 'parse', problem FROM m WHERE problem IS NOT NULL""",
+    "fetch_by_ids_versions": f"""
+        WITH held AS (
+            SELECT {ID} AS message_id, doc_id AS n, CASE WHEN doc_id % 4 < 2 THEN text ELSE '' END AS body
+            FROM documents UNION ALL SELECT 'page-' || page_id, page_id, html FROM pages),
+        ids AS (SELECT 'page-' || page_id AS message_id FROM pages UNION ALL
+                SELECT {ID} FROM labels UNION ALL SELECT {ID} FROM labels)
+        SELECT message_id, CAST(CASE WHEN n IS NOT NULL THEN 1 END AS INTEGER) AS seq,
+               CASE WHEN n IS NULL
+                    THEN 'unknown message_id: ' || chr(39) || message_id || chr(39)
+                    WHEN n % 6 = 1 THEN 'invalid JSON' END AS error,
+               CASE WHEN n % 6 <> 1 THEN sha256(coalesce(body, '')) END AS body_sha256
+        FROM ids LEFT JOIN held USING (message_id)""",
+    "run_label_batch_order": f"""
+        SELECT kind, {ID} AS source_message_id, text AS summary
+        FROM (SELECT * FROM documents WHERE source = 'src7' ORDER BY doc_id DESC LIMIT 7),
+             (VALUES ('table'), ('archive')) kinds(kind)""",
+    "export_and_emit_readback": f"""
+        SELECT 'line' AS kind, NULL AS name, source_message_id, subject, summary
+        FROM ({_order_store()}) WHERE subject LIKE 'version 1%'
+        UNION ALL
+        SELECT 'sample', printf('%03d_sample.json', row_number() OVER (ORDER BY n_nationkey)),
+               'nation-' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0'), n_name, n_name FROM nation""",
+    "conversation_messages": """
+        SELECT conv_id, turn, role, text, system FROM conversations LEFT JOIN (
+            SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS system
+            FROM conversations WHERE role = 'system' GROUP BY conv_id) USING (conv_id)
+        WHERE role <> 'system'""",
+    "large_response_object": f"""
+        SELECT {ID} AS message_id, 'quality ' || quality AS tl_dr, 'toxic ' || toxic AS summary,
+               'label' AS category FROM labels
+        UNION ALL SELECT 'first', 't', NULL, NULL""",
     "first_version": """
         SELECT 'order-' || o_orderkey AS source_message_id,
                'version ' || v || ' ' || o_orderpriority AS subject, CAST(v AS INTEGER) AS delivery
@@ -314,11 +396,15 @@ ORACLE = {
                         ELSE 1 END AS v FROM orders)""",
     "stream_ingest": _order_store(),
     "batch_store": f"""
-        SELECT 'record' AS kind, {ID} AS message_id, {MASKED_SUBJECT} AS subject,
-               text AS content FROM documents WHERE {STATUS} = 0
+        WITH {MESSAGES}
+        SELECT 'record' AS kind, message_id, masked AS subject, answer AS content
+        FROM m WHERE problem IS NULL
         UNION ALL
-        SELECT 'dead letter', {ID}, NULL, {DATE_ERROR} FROM documents, (VALUES (1), (2)) runs(r)
-        WHERE {STATUS} <> 0""",
+        SELECT 'dead letter', message_id, NULL, problem FROM m, (VALUES (1), (2)) runs(r)
+        WHERE problem IS NOT NULL
+        UNION ALL
+        SELECT 'prompt', message_id, NULL, sha256({_prompt('masked', 'masked_sender', _redact('body'))})
+        FROM m WHERE problem IS NULL""",
     "token_usage": USAGE,
     "token_running": f"""
         SELECT 'order-' || l_orderkey AS message_id, l_linenumber AS step, l_partkey, l_suppkey,
@@ -382,24 +468,22 @@ ORACLE = {
                    ORDER BY lang, n_chars, doc_id)) AS sample_name
         FROM documents""",
     "offline_replay": f"""
-        SELECT {ID} AS source_message_id, {MASKED_SUBJECT} AS subject,
-               'Document ' || doc_id || ' by ' || source || '@example.org' AS tl_dr,
-               text AS summary, {_json_list('lang', 'source')} AS key_points,
-               '[]' AS action_items, lang AS category, '{MODEL}' AS model,
+        WITH {MESSAGES}
+        SELECT message_id AS source_message_id, masked AS subject, tl_dr, answer AS summary,
+               key_points, '[]' AS action_items, category, '{MODEL}' AS model,
                CAST(NULL AS BIGINT) AS tokens_prompt, CAST(NULL AS BIGINT) AS tokens_completion,
-               {CLOCK} AS created_at
-        FROM documents""",
+               {CLOCK} AS created_at,
+               sha256({_prompt('masked', 'masked_sender', _redact('body'))}) AS prompt
+        FROM m""",
     "records_and_dead_letters": f"""
-        WITH m AS (SELECT *, {DATE_ERROR} AS problem FROM {WITH_PAGES}),
-        b AS (SELECT *, {_redact(_parsed_text())} AS body FROM m)
-        SELECT {ID} AS source_message_id,
-               CASE WHEN problem IS NULL THEN {MASKED_SUBJECT} END AS subject,
-               CASE WHEN problem IS NULL THEN length({_prompt(
-                   MASKED_SUBJECT, "'Desk ' || source || ' <[scrubbed]@example.com>'", 'body')})
-                   END AS prompt_chars,
-               CASE WHEN problem IS NULL THEN
-                    'Document ' || doc_id || ' by ' || source || '@example.org' END AS tl_dr,
-               CASE WHEN problem IS NULL THEN lang END AS category,
+        WITH {MESSAGES}, p AS (
+            SELECT *, {_prompt('masked', 'masked_sender', _redact('body'))} AS prompt FROM m)
+        SELECT message_id AS source_message_id,
+               CASE WHEN problem IS NULL THEN masked END AS subject,
+               CASE WHEN problem IS NULL THEN length(prompt) END AS prompt_chars,
+               CASE WHEN problem IS NULL THEN sha256(prompt) END AS prompt_sha256,
+               CASE WHEN problem IS NULL THEN tl_dr END AS tl_dr,
+               CASE WHEN problem IS NULL THEN category END AS category,
                CASE WHEN problem IS NOT NULL THEN 'parse' END AS stage, problem AS error
-        FROM b""",
+        FROM p""",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +13,17 @@ from msgpipe.functions.base64text import decode_base64url
 from msgpipe.functions.content import assemble_messages
 from msgpipe.functions.dates import epoch_millis, millis_error, millis_to_timestamp
 from msgpipe.functions.headers import header_or_empty
-from msgpipe.functions.html import html_to_text, html_to_text_native
+from msgpipe.functions.html import html_to_text
 from msgpipe.functions.mime import attachment_names, flatten_parts, inline_text
 from msgpipe.functions.prompt import render_prompt
 from msgpipe.functions.redaction import EMAIL_RULE, redact, redact_message, redact_record
 from msgpipe.functions.text import iso_utc, truncate
-from msgpipe.operators.conversation import conversation_payloads, conversation_turns
+from msgpipe.operators.conversation import (
+    conversation_messages,
+    conversation_payloads,
+    conversation_turns,
+)
+from msgpipe.operators.export import emit_records, export_samples
 from msgpipe.operators.numbering import sample_names
 from msgpipe.operators.parse import parse_messages
 from msgpipe.operators.records import (
@@ -44,14 +50,16 @@ from msgpipe.operators.usage import (
     token_usage,
     totals_line,
 )
-from msgpipe.plans.batch import ingest, prepare_messages
+from msgpipe.plans.batch import ingest, prepare_messages, run_label_batch
 from msgpipe.plans.replay import replay
 from msgpipe.schemas import clock
 from msgpipe.session import configure, new_staging_path
+from msgpipe.sources.archive import Archive
 from msgpipe.sources.captures import records_from_lines, timings_from_lines
 from msgpipe.sources.listing import label_index, list_messages, message_index, resolve_label
 from msgpipe.sources.raw import from_table, get_messages
-from msgpipe.streaming.ingest import stream_records
+from msgpipe.sources.responses import read_large_response_object
+from msgpipe.streaming.ingest import stream_messages, stream_records
 from msgpipe.workloads import inputs
 
 RUN_TIME = datetime(2026, 1, 1, tzinfo=UTC)
@@ -79,14 +87,18 @@ def redact_message_fields(spark, sf_dir):
         _joined("labels"), "body_text", "snippet", _joined("attachment_filenames"))
 
 
-def html_native(spark, sf_dir):
+def html_pages(spark, sf_dir):
     return inputs.table(spark, sf_dir, "pages").select(
-        "page_id", html_to_text_native(F.col("html")).alias("text"))
+        "page_id", html_to_text(F.col("html")).alias("text"))
 
 
-def html_exact(spark, sf_dir):
+def html_unfinished(spark, sf_dir):
+    """Every page with an end that a reader waiting for more holds back."""
+    ends = F.array(*map(F.lit, ("<p>held &am", "<script>var a = '<p>", "<!-- open", "<a b='>",
+                                "<style>p{}</styl")))
+    page = F.concat("html", F.get(ends, (F.col("page_id") % 5).cast("int")))
     return inputs.table(spark, sf_dir, "pages").select(
-        "page_id", html_to_text(F.col("html")).alias("text"))
+        "page_id", html_to_text(page).alias("text"))
 
 
 def header_lookup(spark, sf_dir):
@@ -113,7 +125,7 @@ def address_list_plain(spark, sf_dir):
         F.lit("@"), F.lower("c_mktsegment"), F.lit(".example.org,Room "), key, F.lit(" <r"), key,
         F.lit("@example.net>"))
     return inputs.table(spark, sf_dir, "customer").select(
-        "c_custkey", F.array_join(addresses(header, exact=False), "|").alias("addresses"))
+        "c_custkey", F.array_join(addresses(header), "|").alias("addresses"))
 
 
 def address_list_odd(spark, sf_dir):
@@ -155,7 +167,8 @@ def mime_flatten(spark, sf_dir):
     return parts.select(
         "message_id", F.size("parts").alias("n_parts"), F.array_join(types, "|").alias("types"),
         F.array_join(attachment_names(F.col("parts")), "|").alias("attachments"),
-        inline_text(F.col("parts"), "text/plain")["text"].alias("plain"))
+        *(inline_text(F.col("parts"), f"text/{kind}")["text"].alias(kind)
+          for kind in ("plain", "html")))
 
 
 def parse_raw_messages(spark, sf_dir):
@@ -302,19 +315,198 @@ def dead_letter_rows(spark, sf_dir):
 def dead_letter_split(spark, sf_dir):
     """Outcome counts of the full chain on messages with broken dates and answers."""
     raw = from_table(inputs.raw_json(spark, sf_dir, broken=True))
-    parsed = parse_messages(raw, exact=False).select("message_id", "subject", "err")
+    parsed = parse_messages(raw).select("message_id", "subject", "err")
     answers = inputs.defective_answers(spark, sf_dir).select("message_id", "answer")
     answered = validate_answers(lookup_responses(parsed, answers))
     return outcome_counts(assemble_records(answered, inputs.MODEL, clock(RUN_TIME)))
 
 
+_ORDER_COLUMNS = (KEY, "subject", "tl_dr", "summary", "category", "tokens_prompt")
+
+
 def insert_or_ignore(spark, sf_dir):
-    """Delivery 2 into a store that holds delivery 1: the rows of the store afterwards."""
-    records = flatten_records(inputs.order_records(spark, sf_dir).filter("delivery = 1"))
-    batch = flatten_records(inputs.order_records(spark, sf_dir).filter("delivery = 2"))
-    fresh = new_rows(batch, records, KEY, ["created_at", "subject"])
-    return records.unionByName(fresh).select(
-        KEY, "subject", "tl_dr", "summary", "category", "tokens_prompt")
+    """Delivery 1 into a store, then delivery 2: the rows of the store afterwards."""
+    store = Store(spark, new_staging_path(spark, "store")).create()
+    records = inputs.order_records(spark, sf_dir)
+    for number in (1, 2):
+        store.append_records(records.filter(F.col("delivery") == number), ["delivery"])
+    return store.records().select(*_ORDER_COLUMNS)
+
+
+def indexed_append(spark, sf_dir):
+    """Orders in both deliveries, in a store whose key index has to grow on the way."""
+    store = Store(spark, new_staging_path(spark, "store")).create(buckets=4, bucket_keys=500)
+    records = inputs.order_records(spark, sf_dir)
+    for number in (1, 2):
+        store.append_records(flatten_records(records.filter(F.col("delivery") == number)), [KEY])
+    held = store.index.keys().select(F.col("key").alias(KEY))
+    return store.records().join(held, KEY).select(*_ORDER_COLUMNS)
+
+
+def _store_rows(store):
+    records = store.records().select(
+        F.lit("record").alias("kind"), F.col(KEY).alias("message_id"),
+        F.lit(None).cast("string").alias("stage"), F.col("summary").alias("content"))
+    letters = store.dead_letters().select(F.lit("dead letter"), KEY, "stage", "error")
+    return records.union(letters)
+
+
+def _document_records(spark, sf_dir):
+    doc = F.col("doc_id")
+    return inputs.table(spark, sf_dir, "documents").select(
+        doc, inputs.message_id().alias(KEY), F.lit("s").alias("subject"),
+        F.struct(F.lit("t").alias("tl_dr"), F.concat(F.lit("text: "), "text").alias("summary"),
+                 F.array("lang").alias("key_points"), F.array("source").alias("action_items"),
+                 F.lit("c").alias("category")).alias("summary"),
+        F.lit(inputs.MODEL).alias("model"), doc.alias("tokens_prompt"),
+        doc.alias("tokens_completion"), clock(RUN_TIME).alias("created_at"))
+
+
+def persist_isolated(spark, sf_dir):
+    """Records of which some make the write fail: those become dead letters, all others rows."""
+    records = _document_records(spark, sf_dir)
+    spoiled = records.withColumn("subject", F.when(
+        F.col("doc_id") % 331 == 7, F.raise_error(F.concat(F.lit("cannot write "), KEY)))
+        .otherwise(F.col("subject")))
+    store = Store(spark, new_staging_path(spark, "store")).create()
+    store.append_records(spoiled, ["doc_id"], clock(RUN_TIME))
+    return _store_rows(store)
+
+
+def append_invalid(spark, sf_dir):
+    """Records of which some break a constraint, appended twice."""
+    doc = F.col("doc_id")
+    records = _document_records(spark, sf_dir).withColumns({
+        KEY: F.when(doc % 17 != 3, F.col(KEY)),
+        "tokens_prompt": F.when(doc % 19 == 4, -doc).otherwise(doc),
+        "model": F.when(doc % 23 == 5, F.lit("")).otherwise(F.col("model"))})
+    store = Store(spark, new_staging_path(spark, "store")).create()
+    for _ in range(2):
+        store.append_records(records, ["doc_id"], clock(RUN_TIME))
+    return _store_rows(store)
+
+
+class _LostOnce(Store):
+    """A store whose driver is lost once, when a batch is written but not in the ledger."""
+
+    def commit(self, *args, **options):
+        if not _LostOnce.lost:
+            _LostOnce.lost = True
+            raise RuntimeError("the driver is lost")
+        return super().commit(*args, **options)
+
+
+def stream_replay(spark, sf_dir):
+    """A stream of raw messages whose first batch is lost after its records and dead letters
+    were written, started again: each is in the store once."""
+    feed, progress = new_staging_path(spark, "feed"), new_staging_path(spark, "progress")
+    raw = inputs.raw_json(spark, sf_dir, broken=True)
+    raw.write.parquet(feed)
+    answers = inputs.prepared_answers(spark, sf_dir)
+    path = new_staging_path(spark, "store")
+    _LostOnce.lost = False
+    for _ in range(2):
+        stream = from_table(spark.readStream.schema(raw.schema).parquet(feed))
+        query = stream_messages(stream, _LostOnce(spark, path), inputs.MODEL, progress,
+                                available_now=True, now=RUN_TIME, responses=answers)
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            continue
+    return _store_rows(Store(spark, path))
+
+
+def fetch_by_ids_versions(spark, sf_dir):
+    """Requests against two versions of every message, some of them unreadable."""
+    raw = inputs.raw_json(spark, sf_dir, broken=False)
+    later = raw.select("message_id", F.lit('{"id": "later"}').alias("payload"))
+    number = F.regexp_extract("message_id", r"(\d+)$", 1).cast("bigint")
+    first = raw.withColumn("payload", F.when(number % 6 == 1, F.lit("{broken")).otherwise(
+        F.col("payload")))
+    parsed = from_table(first).withColumn("seq", F.lit(1)).unionByName(
+        from_table(later).withColumn("seq", F.lit(2)))
+    ids = inputs.table(spark, sf_dir, "pages").select(inputs.page_message_id()).unionByName(
+        inputs.table(spark, sf_dir, "labels").select(inputs.message_id())).unionByName(
+        inputs.table(spark, sf_dir, "labels").select(inputs.message_id()))
+    body = decode_base64url(F.coalesce(
+        F.try_variant_get("payload", "$.payload.body.data", "string"),
+        F.try_variant_get("payload", "$.payload.parts[0].body.data", "string"), F.lit("")))
+    return get_messages(parsed, ids, order=["seq"]).select(
+        "message_id", "seq", F.col("err.error").alias("error"),
+        F.when(F.col("err").isNull(), F.sha2(body["text"], 256)).alias("body_sha256"))
+
+
+def run_label_batch_order(spark, sf_dir):
+    """The newest messages of a label, from a table with two versions and from an archive."""
+    raw = from_table(inputs.raw_json(spark, sf_dir, broken=False)).withColumn("seq", F.lit(1))
+    both = raw.unionByName(raw.withColumn("seq", F.lit(2)))
+    labels = inputs.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("Source/"), "source").alias("name"), F.col("source").alias("label_id"))
+    answers = inputs.prepared_answers(spark, sf_dir)
+    archive = Archive(spark, new_staging_path(spark, "archive")).create()
+    archive.append(raw)
+    found = None
+    for kind, held, options in (("table", both, {"order": ["seq"]}), ("archive", archive, {})):
+        store = Store(spark, new_staging_path(spark, "store"))
+        run_label_batch(held, labels, "Source/src7", store, inputs.MODEL, limit=7, now=RUN_TIME,
+                        responses=answers, **options)
+        rows = store.records().select(F.lit(kind).alias("kind"), KEY, "summary")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def export_and_emit_readback(spark, sf_dir):
+    """Order records emitted as JSON lines, customer records as numbered samples, read back."""
+    emitted, samples = new_staging_path(spark, "emitted"), new_staging_path(spark, "samples")
+    records = inputs.order_records(spark, sf_dir).filter("delivery = 1")
+    emit_records(records, emitted)
+    few = _nation_records(spark, sf_dir)
+    for _ in range(2):
+        export_samples(few, samples, [KEY])
+    lines = spark.read.text(emitted).select(
+        F.lit("line").alias("kind"), F.lit(None).cast("string").alias("name"), "value")
+    files = spark.read.text(samples, wholetext=True).select(
+        F.lit("sample"), F.col("_metadata.file_name"), "value")
+    value = F.try_parse_json("value")
+    return lines.union(files).select(
+        "kind", "name", F.try_variant_get(value, f"$.{KEY}", "string").alias(KEY),
+        F.try_variant_get(value, "$.subject", "string").alias("subject"),
+        F.try_variant_get(value, "$.summary.summary", "string").alias("summary"))
+
+
+def _nation_records(spark, sf_dir):
+    return inputs.table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("nation-"), F.lpad("n_nationkey", 2, "0")).alias(KEY),
+        F.col("n_name").alias("subject"),
+        F.struct(F.col("n_name").alias("tl_dr"), F.col("n_name").alias("summary"),
+                 F.array("n_name").alias("key_points"), F.array().cast("array<string>")
+                 .alias("action_items"), F.lit("nation").alias("category")).alias("summary"),
+        F.lit(inputs.MODEL).alias("model"), F.lit(1).cast("bigint").alias("tokens_prompt"),
+        F.lit(None).cast("bigint").alias("tokens_completion"),
+        clock(RUN_TIME).alias("created_at"))
+
+
+def conversation_message_rows(spark, sf_dir):
+    """Every turn a model is sent, with the conversation's system text."""
+    return conversation_messages(inputs.table(spark, sf_dir, "conversations")).select(
+        "conv_id", "turn", "role", "text", "system")
+
+
+def large_response_object(spark, sf_dir):
+    """The labelled documents' answers as one JSON object in one file, read in splits."""
+    path = new_staging_path(spark, "answers")
+    key = F.to_json(F.array("message_id"))
+    member = F.concat(F.lit(","), F.substr(key, F.lit(2), F.length(key) - 2), F.lit(": "), "answer")
+
+    def line(text: str) -> DataFrame:
+        return spark.range(1).select(F.lit(text).alias("value"))
+
+    (line('{"first": {"tl_dr": "t"}').unionByName(
+        inputs.labelled_answers(spark, sf_dir).select(member.alias("value")))
+     .unionByName(line("}")).coalesce(1).write.text(path))
+    return read_large_response_object(spark, path).select(
+        "message_id", *(F.get_json_object("answer", f"$.{n}").alias(n)
+                        for n in ("tl_dr", "summary", "category")))
 
 
 def first_version(spark, sf_dir):
@@ -342,13 +534,16 @@ def batch_store(spark, sf_dir):
     answers = inputs.prepared_answers(spark, sf_dir)
     store = Store(spark, new_staging_path(spark, "store"))
     for _ in range(2):
-        ingest(raw, store, inputs.MODEL, now=RUN_TIME, responses=answers)
+        result = ingest(raw, store, inputs.MODEL, now=RUN_TIME, responses=answers,
+                        keep=["prompt"])
     records = store.records().select(
         F.lit("record").alias("kind"), F.col(KEY).alias("message_id"), "subject",
         F.col("summary").alias("content"))
     letters = store.dead_letters().select(
         F.lit("dead letter"), KEY, F.lit(None), "error")
-    return records.union(letters)
+    prompts = result.outcomes.where("err is null").select(
+        F.lit("prompt"), KEY, F.lit(None), F.sha2("prompt", 256))
+    return records.union(letters).union(prompts)
 
 
 def token_usage_totals(spark, sf_dir):
@@ -412,8 +607,10 @@ def sample_file_names(spark, sf_dir):
 def offline_replay(spark, sf_dir):
     """The whole chain on clean messages with prepared answers."""
     raw = from_table(inputs.raw_json(spark, sf_dir, broken=False))
-    records = replay(raw, inputs.prepared_answers(spark, sf_dir), inputs.MODEL, order=())
-    return list_columns_as_json(flatten_records(records))
+    records = replay(raw, inputs.prepared_answers(spark, sf_dir), inputs.MODEL, order=(),
+                     keep=["prompt"])
+    return list_columns_as_json(flatten_records(records, ["prompt"])).withColumn(
+        "prompt", F.sha2("prompt", 256))
 
 
 def flagship(spark, sf_dir):
@@ -424,6 +621,7 @@ def flagship(spark, sf_dir):
     out = assemble_records(answered, inputs.MODEL, clock(RUN_TIME), keep=["prompt"])
     return out.select(
         "source_message_id", "subject", F.length("prompt").cast("bigint").alias("prompt_chars"),
+        F.sha2("prompt", 256).alias("prompt_sha256"),
         F.col("summary.tl_dr").alias("tl_dr"), F.col("summary.category").alias("category"),
         F.col("err.stage").alias("stage"), F.col("err.error").alias("error"))
 
@@ -458,8 +656,8 @@ QUERIES = {
     "redact_documents": redact_documents,
     "redact_hits_by_lang": redact_hits_by_lang,
     "redact_message": redact_message_fields,
-    "html_to_text": html_native,
-    "html_to_text_exact": html_exact,
+    "html_to_text": html_pages,
+    "html_to_text_exact": html_unfinished,
     "header_lookup": header_lookup,
     "address_list": address_list_plain,
     "address_list_exact": address_list_odd,
@@ -483,6 +681,15 @@ QUERIES = {
     "dead_letter_rows": dead_letter_rows,
     "dead_letter_split": dead_letter_split,
     "insert_or_ignore": insert_or_ignore,
+    "indexed_append": indexed_append,
+    "persist_isolated": persist_isolated,
+    "append_invalid": append_invalid,
+    "stream_replay": stream_replay,
+    "fetch_by_ids_versions": fetch_by_ids_versions,
+    "run_label_batch_order": run_label_batch_order,
+    "export_and_emit_readback": export_and_emit_readback,
+    "conversation_messages": conversation_message_rows,
+    "large_response_object": large_response_object,
     "first_version": first_version,
     "stream_ingest": stream_ingest,
     "batch_store": batch_store,
