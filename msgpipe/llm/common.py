@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from msgpipe.functions.text import let
-from msgpipe.session import new_staging_path
+from msgpipe.session import new_staging_path, remove
 
 #: Neighbours in sorted order that are linked before whole buckets are compared.
 NEAREST = 4
@@ -24,7 +24,15 @@ def stage(rows: DataFrame, name: str) -> DataFrame:
     spark = rows.sparkSession
     path = new_staging_path(spark, name)
     rows.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    found = spark.read.schema(rows.schema).parquet(path)
+    found.staged_path = path
+    return found
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Delete staged tables whose rows have been written on; they cannot be read any more."""
+    for rows in staged:
+        remove(rows.sparkSession, rows.staged_path)
 
 
 def in_arrow(rows: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
@@ -82,8 +90,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v > m").select(
             F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stage(least.select("u", F.col("m").alias("v")).unionByName(moved).distinct(),
-                    "small-star")
+        small = stage(least.select("u", F.col("m").alias("v")).unionByName(moved).distinct(),
+                      "small-star")
+        unstage(large, now)
+        now = small
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
