@@ -12,7 +12,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgpipe.llm.common import table
+from msgpipe.llm.common import stage, table
 
 # Verdict and rule (host/path), of the list that goes before any mined rule.
 RULES = (
@@ -22,12 +22,9 @@ RULES = (
     ("allow", "org/fr/"),
 )
 BAD = "label:bad"
-MIN_SUPPORT = 0.0005
 MIN_CONFIDENCE = 0.9
-#: A rule must also stand on so many labelled pages.
+#: A rule must stand on so many labelled pages, however many there are.
 MIN_PAGES = 20
-#: Tokens of a rule, at most; of a URL, those that a rule may use.
-MAX_RULE = 3
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -59,8 +56,8 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda k: (
         F.concat(F.lit("host:"), F.array_join(F.slice(labels, k, F.size(labels)), "."))))
     single = F.transform(labels, lambda x: F.concat(F.lit("label:"), x))
-    words = F.transform(F.filter(F.split(path, r"[/._-]+"), lambda w: (w != "") & ~w.rlike(
-        r"^\d+$")), lambda w: F.concat(F.lit("path:"), w))
+    words = F.transform(F.filter(F.split(path, r"[/._-]+"), lambda w: w != ""),
+                        lambda w: F.concat(F.lit("path:"), w))
     names = F.transform(F.regexp_extract_all(url, F.lit(r"[?&]([^=&#]*)="), 1),
                         lambda n: F.concat(F.lit("query:"), n))
     scheme = F.array(F.concat(F.lit("scheme:"), F.lower(F.substring_index(url, "://", 1))))
@@ -69,46 +66,95 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
         F.array().cast("array<string>"))))
 
 
-def mine(labelled: DataFrame) -> DataFrame:
-    """(tokens, confidence, support) of kept rules, from rows (tokens, bad boolean).
+def _told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, bad, items) over the least token of each class, and the classes (token, item).
+
+    Tokens that stand on the same rows are one class: no rule can tell them apart, and sets of
+    them would only repeat each other. Tokens on fewer than MIN_PAGES rows can be in no rule.
+    """
+    single = rows.select("row", "bad", F.explode("tokens").alias("token"))
+    # The rows of a token by their number and two sums over hashes that cannot overflow.
+    tokens = single.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"),
+        F.sum(F.shiftrightunsigned(F.xxhash64("row", F.lit(1)), 30)).alias("y")).where(
+        F.col("n") >= MIN_PAGES)
+    least = tokens.groupBy("n", "x", "y").agg(F.min("token").alias("item"))
+    classes = tokens.join(least, ["n", "x", "y"]).select("token", "item")
+    items = single.join(classes.where("token = item").select("token"), "token").groupBy(
+        "row", "bad").agg(F.collect_list("token").alias("items"))
+    return items, classes
+
+
+def mine(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Kept rules (tokens, confidence, support), and the classes (token, item) whose items they
+    are over, from rows (tokens, bad boolean). Any token of a class stands for its item.
 
     A rule survives if a page with its tokens is bad with MIN_CONFIDENCE at least, on
-    MIN_PAGES pages, and no kept rule over some of its tokens does as well.
+    MIN_PAGES pages, and no kept rule over some of its tokens does as well. Rules have
+    any number of tokens. FP-growth runs over the bad pages, where a rule must have its hits;
+    the other pages that its tokens stand on are counted by the rule's rarest token.
+    """
+    rows = stage(labelled.where("bad is not null").withColumn(
+        "row", F.monotonically_increasing_id()), "labelled-urls")
+    items, classes = _told_apart(rows)
+    items = stage(items, "url-items")
+    bad = items.where("bad").select("items")
+    n_bad = bad.count()
+    empty = rows.sparkSession.createDataFrame(
+        [], "tokens array<string>, confidence double, support bigint")
+    if not n_bad:
+        return empty, classes
+    least = MIN_CONFIDENCE * MIN_PAGES
+    grown = FPGrowth(minSupport=min(1.0, (least - 0.5) / n_bad), minConfidence=1.0).fit(bad)
+    sets = stage(grown.freqItemsets.where(F.col("freq") >= least).select(
+        F.array_sort("items").alias("tokens"), F.col("freq").alias("hit")), "url-sets")
+    good = items.where(~F.col("bad"))
+    commonness = good.select(F.explode("items").alias("token")).groupBy("token").count()
+    first = sets.select("tokens", F.explode("tokens").alias("token")).join(
+        commonness, "token", "left").groupBy("tokens").agg(F.min(F.struct(
+            F.coalesce("count", F.lit(0)).alias("count"), "token")).alias("rarest")).select(
+        F.col("tokens").alias("needed"), F.col("rarest.token").alias("token"))
+    misses = (
+        good.select("row", "items", F.explode("items").alias("token")).join(first, "token")
+        .where(F.size(F.array_except("needed", "items")) == 0)
+        .groupBy(F.col("needed").alias("tokens")).agg(F.count(F.lit(1)).alias("miss")))
+    pages = F.col("hit") + F.coalesce("miss", F.lit(0))
+    kept = stage(sets.join(misses, "tokens", "left").select(
+        "tokens", (F.col("hit") / pages).alias("confidence"), pages.alias("support")).where(
+        (F.col("confidence") >= MIN_CONFIDENCE) & (F.col("support") >= MIN_PAGES)), "url-rules")
+    rules = kept.join(_best_parts(kept), "tokens", "left").where(
+        F.col("part_confidence").isNull() | (F.col("part_confidence") < F.col("confidence")))
+    return rules.select("tokens", "confidence", "support"), classes
+
+
+def _best_parts(kept: DataFrame) -> DataFrame:
+    """(tokens, part_confidence): the highest confidence among the kept proper parts of each set.
+
+    A part is met by its first token and confirmed by a subset test, so that parts are not listed.
     """
-    rows = labelled.where("bad is not null").select(F.when(F.col("bad"), F.array_append(
-        "tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")).where("size(items) > 0")
-    grown = FPGrowth(minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(rows)
-    sets = grown.freqItemsets.where(F.size("items") <= MAX_RULE + 1)
-    whole = sets.where(F.array_contains("items", BAD)).select(
-        F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("hit"))
-    base = sets.where(~F.array_contains("items", BAD)).select(
-        F.array_sort("items").alias("tokens"), F.col("freq").alias("pages"))
-    good = whole.where("size(tokens) > 0").join(base, "tokens").withColumn(
-        "confidence", F.col("hit") / F.col("pages")).where(
-        (F.col("confidence") >= MIN_CONFIDENCE) & (F.col("pages") >= MIN_PAGES))
-    # Sub-rules by their own tokens, so the pruning is a join of equal keys.
-    subsets = good.select("tokens", "confidence", F.explode(F.flatten(F.array(
-        F.transform("tokens", lambda t: F.array(t)),
-        F.transform("tokens", lambda t: F.array_remove("tokens", t))))).alias("part")).where(
-        (F.size("part") > 0) & (F.col("part") != F.col("tokens")))
-    general = good.select(F.col("tokens").alias("part"), F.col("confidence").alias("other"))
-    implied = subsets.join(general, "part").where("other >= confidence").select(
-        "tokens").distinct()
-    return good.join(implied, "tokens", "left_anti").select(
-        "tokens", "confidence", F.col("pages").alias("support"))
-
-
-def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    listed = kept.select("tokens", F.explode("tokens").alias("token"))
+    parts = kept.select(F.col("tokens").alias("part"), F.col("confidence").alias("other"),
+                        F.get("tokens", F.lit(0)).alias("token"))
+    return (
+        listed.join(parts, "token")
+        .where((F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0))
+        .groupBy("tokens").agg(F.max("other").alias("part_confidence")))
+
+
+def matched(pages: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
     """Ids (page_key) of pages (page_key, tokens) that some rule blocks, by an inverted index."""
-    listed = rules.select("tokens", F.explode("tokens").alias("token"))
-    # The rarest token is the one that fewest rules share; ties by name.
-    common = listed.groupBy("token").count()
-    index = listed.join(common, "token").groupBy("tokens").agg(
-        F.min(F.struct("count", "token")).alias("least")).select(
-        F.col("tokens").alias("needed"), F.col("least.token").alias("token"))
+    listed = rules.select("tokens", F.explode("tokens").alias("item"))
+    # The rarest item is the one that fewest rules share; ties by name.
+    common = listed.groupBy("item").count()
+    index = listed.join(common, "item").groupBy("tokens").agg(
+        F.min(F.struct("count", "item")).alias("least")).select(
+        F.col("tokens").alias("needed"), F.col("least.item").alias("item"))
+    used = classes.join(common.select("item"), "item", "left_semi")
+    items = pages.select("page_key", F.explode("tokens").alias("token")).join(
+        used, "token").groupBy("page_key").agg(F.collect_set("item").alias("items"))
     return (
-        pages.select("page_key", "tokens", F.explode("tokens").alias("token"))
-        .join(index, "token").where(F.size(F.array_except("needed", "tokens")) == 0)
+        items.select("page_key", "items", F.explode("items").alias("item"))
+        .join(index, "item").where(F.size(F.array_except("needed", "items")) == 0)
         .select("page_key").distinct()
     )
 
@@ -129,11 +175,11 @@ def judge_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
     known = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(
         "toxic").alias("toxic")).select(F.col("doc_id").alias("page_id"), bad)
-    rules = mine(judged.select("page_id", tokens).join(known, "page_id"))
+    rules, classes = mine(judged.select("page_id", tokens).join(known, "page_id"))
     # The tokens of a URL hang on the URL alone: different ones are matched once each.
     open_ = judged.where("fit is null and url is not null").select(
         F.col("url").alias("page_key"), tokens).distinct()
-    hits = matched(open_, rules).select(F.col("page_key").alias("url"), F.lit(True).alias("hit"))
+    hits = matched(open_, rules, classes).select(F.col("page_key").alias("url"), F.lit(True).alias("hit"))
     return judged.join(hits, "url", "left").select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"),
         F.coalesce("fit.verdict", F.when(F.col("hit"), "block"), F.lit("allow")).alias("verdict"))

@@ -369,6 +369,86 @@ def test_url_rules_are_mined(spark):
     assert got == {k: "block" if k % 6 == 0 else "allow" for k in range(300)}
 
 
+def test_url_rules_of_any_size_are_mined(spark):
+    """Pages that only four tokens together mark as bad, and what a plain count says."""
+    import itertools
+
+    chance = random.Random(3)
+    words = ("alpha", "beta", "gamma", "delta", "42")
+
+    def page(k):
+        have = [w for w in words if chance.random() < 0.7]
+        return k, f"https://h{k % 3}.example.xyz/{'/'.join(have)}?q={k}", set(have)
+
+    rows = [page(k) for k in range(900)]
+    bad = {k for k, _, have in rows if {"alpha", "beta", "gamma", "42"} <= have}
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id int, url string")
+    labels = spark.createDataFrame([(k, int(k not in bad), 0) for k in range(600)],
+                                   "doc_id int, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, labels).collect()}
+    assert got == {k: "block" if k in bad else "allow" for k, _, _ in rows}
+
+    # Every set of words by plain counting: the kept ones are those without an equal part.
+    def stats(part):
+        on = [k for k, _, have in rows[:600] if set(part) <= have]
+        return len(on), sum(k in bad for k in on)
+
+    good = {}
+    for n in range(1, 6):
+        for part in itertools.combinations(words, n):
+            support, hit = stats(part)
+            if support >= 20 and hit / support >= 0.9:
+                good[frozenset(part)] = hit / support
+    want = {p for p, c in good.items() if not any(q < p and d >= c for q, d in good.items())}
+    tokens = url_rules.url_tokens(F.col("url"), *url_rules.url_parts(F.col("url"))).alias("tokens")
+    rules, _ = url_rules.mine(pages.where("page_id < 600").select(
+        tokens, F.col("page_id").isin(sorted(bad)).alias("bad")))
+    found = {frozenset(t.partition(":")[2] for t in r.tokens) for r in rules.collect()
+             if all(t.startswith("path:") for t in r.tokens)}
+    assert found == want == {frozenset({"alpha", "beta", "gamma", "42"})}
+
+
+def test_url_rules_do_not_hang_on_the_number_of_rows(spark):
+    """A rule on 30 pages lives among many rows as among few; long URLs and repeats do no harm."""
+    rows = [(k, f"http://s{k % 50}.org/{'casino' if k < 30 else 'news'}/{k}") for k in range(20_000)]
+    rows += [(20_000, "http://s1.org/casino/" + "x/" * 3000), (20_000, "http://s1.org/casino/")]
+    pages = spark.createDataFrame(rows, "page_id int, url string")
+    labels = spark.range(20_000).select(
+        F.col("id").cast("int").alias("doc_id"), (F.col("id") >= 30).cast("int").alias("quality"),
+        F.lit(0).alias("toxic"))
+    got = url_rules.judge_urls(pages, labels).where("verdict = 'block'").select("page_id")
+    assert sorted(r[0] for r in got.collect()) == [*range(30), 20_000, 20_000]
+
+
+def test_token_files_and_vectors_without_an_id(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "a b"), (None, "c"), (3, "d"), (None, "a b")],
+                                 "doc_id bigint, text string")
+    stored = token_files.TokenFiles.write(docs, token_files.default_tokenizer(), str(tmp_path / "t"))
+    keys = spark.createDataFrame([(None, 0), (None, 1), (None, 2), (None, 3), (3, 0)],
+                                 "doc_id bigint, occurrence int")
+    got = stored.read(stored.locate(keys)).collect()
+    assert sorted((r.doc_id is None, r.occurrence) for r in got) == [
+        (False, 0), (True, 0), (True, 1), (True, 2)]
+    assert sorted(r.start for r in got if r.doc_id is None)[0] == 0
+    frame = spark.createDataFrame(
+        [(None, [1.0, 0.0]), (None, [2.0, 0.0]), (4, [0.0, 1.0]), (None, [0.0, 1.0]), (None, [-1.0, 0.1])],
+        "vec_id bigint, embedding array<double>")
+    rows = embeddings.near_vectors(frame).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in rows) == [
+        (0, 0, 0), (0, 1, 0), (0, 1, 0), (0, 1, 4), (4, 1, 4)]
+
+
+def test_short_lines_of_one_edit_and_clashing_columns(spark):
+    texts = ["abcdefg", "abcdefh", "abcdef", "abcd", "abce", "xyzzy", "xyzy", "12345678", "1234x5678"]
+    docs = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], (
+        f"doc_id bigint, text string, {line_dedup.KEPT} string, {line_dedup.REMOVED.upper()} int"))
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == docs.columns
+    # abcdefg ~ abcdefh (6 of 7), abcdef ~ abcdefg (6 of 7), xyzzy ~ xyzy (4 of 5), 8 of 9.
+    assert {r.doc_id: r.text for r in got.collect()} == dict(enumerate(
+        ["abcdefg", "", "", "abcd", "abce", "xyzzy", "", "12345678", ""]))
+
+
 def test_digest_is_of_the_text(spark):
     from msgpipe.llm.common import sha256_hex
 
