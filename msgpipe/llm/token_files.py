@@ -188,7 +188,7 @@ class PerfectHash:
 
 
 def _key_columns(key, occurrence):
-    """Two independent hashes of a document key and of which of its rows is meant."""
+    """Two independent hashes of a document key, NULL included, and of which of its rows is meant."""
     return (F.xxhash64(key, occurrence).alias("h"),
             F.hash(occurrence, key).alias("mark"))
 
@@ -268,7 +268,7 @@ class TokenFiles:
     def _write_index(places: DataFrame, folder: str) -> None:
         """One index part per hash range of keys, each built in a task of bounded size."""
         parts = 1 + places.count() // PART_KEYS
-        keyed = places.where("doc_id is not null").select(
+        keyed = places.select(
             *_key_columns(F.col("doc_id"), F.col("occurrence")), "shard", "start", "n_tokens",
         ).withColumn("part", F.pmod(F.shiftrightunsigned("h", 20), F.lit(parts)))
 
@@ -297,7 +297,7 @@ class TokenFiles:
         folder = self.folder
         parts = json.loads(read_file(f"{folder}/format.json"))["parts"]
         kind = keys.schema["doc_id"].dataType.simpleString()
-        wanted = keys.where("doc_id is not null").select(
+        wanted = keys.select(
             "doc_id", "occurrence", *_key_columns(F.col("doc_id"), F.col("occurrence")),
         ).withColumn("part", F.pmod(F.shiftrightunsigned("h", 20), F.lit(parts)))
 
