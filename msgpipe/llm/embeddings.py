@@ -183,8 +183,13 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     count each other. A row with a NULL vec_id links as any other and is never the
     smallest. Other columns are ignored.
     """
-    vectors = stage(different_vectors(embeddings).withColumn("size", F.size("embedding")), "vectors")
-    vectors = vectors.where("id is not null")
+    vectors = stage(different_vectors(embeddings).withColumn("size", F.size("embedding"))
+                    .withColumn("id", F.col("id").cast("bigint")), "vectors")
+    # Vectors whose rows all lack an id get one beyond all others, and lose it in the end.
+    top, lone = vectors.agg(F.coalesce(F.max("id"), F.lit(0)), F.count_if(F.col("id").isNull())).first()
+    if lone:
+        vectors = stage(vectors.withColumn("id", F.coalesce(
+            "id", F.lit(top + 1) + F.monotonically_increasing_id())), "vectors")
     found = None
     for (size,) in vectors.select("size").distinct().collect():
         links = _tile_links(vectors.where(F.col("size") == size).drop("size"), size, threshold)
@@ -200,6 +205,8 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
         .join(classes.select(F.col("node").alias("id"), "component"), "id", "left")
         .select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
                 F.coalesce("component", "id").alias("component_id")))
+    judged = judged.withColumn("component_id", F.when(F.col("component_id") <= top, F.col(
+        "component_id")).cast(embeddings.schema["vec_id"].dataType))
     return embeddings.select("vec_id", "embedding").join(judged, "embedding", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"))
