@@ -1,15 +1,14 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
 Every Arrow batch of documents is a shard. Its words become numbers of the benchmark
-vocabulary (0: not in it, so no match can cross it); the suffixes that start a run of
-known words long enough for a window are sorted, and every benchmark suffix is looked
-up by binary search. The matched places are extended to longest verbatim matches.
+vocabulary (0: not in it, so no match can cross it), and runs of known words that a window
+fits in are kept. Their suffixes are sorted, and every benchmark suffix is looked up among them
+by binary search: its neighbours there are its longest verbatim matches. Ranks of
+prefixes of 1, 2, 4, ... words, which the sort leaves behind, tell how long a match is.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,113 +36,161 @@ def _starts_of(flags: np.ndarray) -> np.ndarray:
 
 
 class Benchmark:
-    """Windows and suffixes of one block of benchmark items [(item_id, text)]."""
+    """Word numbers of one block of benchmark items [(item_id, text)]."""
 
     def __init__(self, items: list[tuple], window: int):
         self.vocabulary: dict[bytes, int] = {}
         number = self.vocabulary.setdefault
-        self.item_ids, self.flat, found = [], [0], {}
-        self.item_of, self.place_of = [-1], [0]
+        self.item_ids, flat, item_of, place_of, starts = [], [], [], [], {}
+        self.longest_item = 1
         for item_id, text in items:
             ids = [number(w, len(self.vocabulary) + 1) for w in words_of(text or "")]
-            item, begin = len(self.item_ids), len(self.flat)
+            size, begin = min(window, len(ids)), len(flat)
+            if ids:
+                starts.setdefault(size, []).extend(range(begin, begin + len(ids) - size + 1))
+            # Every item ends with a number of its own: no match crosses it.
+            flat += [*ids, -1 - len(self.item_ids)]
+            item_of += [len(self.item_ids)] * (len(ids) + 1)
+            place_of += range(len(ids) + 1)
             self.item_ids.append(item_id)
-            size = min(window, len(ids))
-            for at in range(len(ids) - size + 1 if ids else 0):
-                found.setdefault(size, {}).setdefault(tuple(ids[at:at + size]), set()).add(item)
-            self.flat += [*ids, 0]
-            self.item_of += [item] * (len(ids) + 1)
-            self.place_of += [*range(len(ids)), 0]
-        #: (size, sorted keys, items of each key) for each size of window
-        self.windows = []
-        for size, by_key in sorted(found.items()):
-            keys = _keys(np.array(list(by_key)), size)
-            order = np.argsort(keys)
-            items_of = list(by_key.values())
-            self.windows.append((size, keys[order], [items_of[k] for k in order]))
-        self.flat = np.array(self.flat, np.int64)
-        self.suffixes = suffix_array(self.flat)
-
-    def suffix(self, at: int, length: int) -> list[int]:
-        return self.flat[at:at + length].tolist()
-
-    def longest(self, ids: np.ndarray, at: int) -> tuple[int, int]:
-        """(words, benchmark place) of the longest match of the document words from ``at``."""
-        width = 64
-        while True:
-            want = ids[at:at + width].tolist()
-            spot = bisect_left(self.suffixes, want, key=lambda k: self.suffix(k, len(want)))
-            best = (0, 0)
-            for k in self.suffixes[max(0, spot - 1):spot + 1].tolist():
-                have = self.suffix(k, len(want))
-                same = next((n for n, (a, b) in enumerate(zip(want, have, strict=False))
-                             if a != b or not a), min(len(want), len(have)))
-                best = max(best, (same, -k))
-            if best[0] < width:
-                return best[0], -best[1]
-            width *= 4
-
-
-def suffix_array(ids: np.ndarray) -> np.ndarray:
-    """Order of all suffixes, by prefix doubling."""
-    rank, span = np.unique(ids, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        after = np.r_[rank[span:] + 1, np.zeros(min(span, len(rank)), np.int64)]
-        order = np.lexsort((after, rank))
-        step = (np.diff(rank[order]) != 0) | (np.diff(after[order]) != 0)
-        rank = np.empty_like(rank)
-        rank[order] = np.r_[0, np.cumsum(step)]
-        span *= 2
-        if span >= len(ids) or step.all():
-            return order
-
-
-def _keys(rows: np.ndarray, size: int) -> np.ndarray:
-    """Rows of word numbers as byte strings that sort like them."""
-    return np.ascontiguousarray(rows, dtype=">u4").view(f"S{4 * size}").ravel()
-
-
-def search(benchmark: Benchmark, docs: list[list[bytes]]) -> list[dict | None]:
-    """For each document its hits, or None: hit words, items, spans and the longest match."""
+            self.longest_item = max(self.longest_item, len(ids))
+        self.flat, self.item_of, self.place_of = (
+            np.array(x, np.int64) for x in (flat, item_of, place_of))
+        #: (words, places of the windows of so many words)
+        self.windows = [(size, np.array(x)) for size, x in sorted(starts.items())]
+
+
+class SuffixArray:
+    """Training words of a shard, sorted by suffix together with the benchmark's.
+
+    ``ranks[k]`` orders all places by their first ``2**k`` words, the last one by more words than
+    an item has. Training places come first, benchmark places from ``split`` on.
+    """
+
+    def __init__(self, training: np.ndarray, benchmark: Benchmark):
+        self.split = len(training)
+        flat = np.concatenate([training, benchmark.flat])
+        self.ranks = [np.unique(flat, return_inverse=True)[1].astype(np.int64)]
+        while 1 << (len(self.ranks) - 1) <= benchmark.longest_item:
+            rank, span = self.ranks[-1], 1 << (len(self.ranks) - 1)
+            after = np.concatenate([rank[span:] + 1, np.zeros(min(span, len(rank)), np.int64)])
+            self.ranks.append(np.unique(
+                rank * (len(rank) + 2) + after, return_inverse=True)[1].astype(np.int64))
+        last = self.ranks[-1]
+        own = np.flatnonzero(training > 0)
+        self.training = own[np.argsort(last[own], kind="stable")]
+        known = np.flatnonzero(benchmark.flat > 0) + self.split
+        self.benchmark = known[np.argsort(last[known], kind="stable")]
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Words that the suffixes at the places ``a`` and ``b`` have in common."""
+        total, size = np.zeros(len(a), np.int64), len(self.ranks[0])
+        for k in reversed(range(len(self.ranks))):
+            x, y = a + total, b + total
+            inside = (x < size) & (y < size)
+            same = inside & (self.ranks[k][np.minimum(x, size - 1)]
+                             == self.ranks[k][np.minimum(y, size - 1)])
+            total += same << k
+        return total
+
+    def longest(self, places: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words, place): the longest match of each place among sorted others, the first of equals.
+
+        The neighbours of where a place would be sorted in have the longest common beginning.
+        """
+        last = self.ranks[-1]
+        spot = np.searchsorted(last[among], last[places])
+        best, where = np.zeros(len(places), np.int64), np.full(len(places), -1)
+        for side in (spot - 1, spot):
+            there = np.clip(side, 0, len(among) - 1)
+            words = np.where((side >= 0) & (side < len(among)), self.common(places, among[there]), 0)
+            better = words > best
+            best[better], where[better] = words[better], among[there][better]
+        return best, where
+
+    def prefixes(self, places: np.ndarray, size: int) -> np.ndarray:
+        """A number for the first ``size`` words at each place, the same for the same words."""
+        k = size.bit_length() - 1
+        rank, top = self.ranks[k], len(self.ranks[0])
+        tail = np.minimum(places + size - (1 << k), top - 1)
+        return rank[places] * top + rank[tail]
+
+
+def _shard(benchmark: Benchmark, docs: list[list[bytes]]):
+    """Training words that can be part of a match: (numbers, their places in the shard, bounds)."""
     get = benchmark.vocabulary.get
     ids = np.array([n for words in docs for n in (*(get(w, 0) for w in words), 0)], np.int64)
     bounds = np.r_[0, np.cumsum([len(words) + 1 for words in docs])].astype(np.int64)
+    size = benchmark.windows[0][0] if benchmark.windows else 1
     known = np.r_[0, np.cumsum(ids != 0)]
-    cover = np.zeros(len(ids) + 1, np.int64)
+    starts = np.flatnonzero(known[size:] - known[:-size] == size) if len(ids) >= size else []
+    used = np.zeros(len(ids) + 1, np.int64)
+    np.add.at(used, starts, 1)
+    np.add.at(used, np.asarray(starts, np.int64) + size, -1)
+    place = np.flatnonzero(np.cumsum(used[:-1]) > 0)
+    # Runs are parted by numbers that occur once, below those that end an item.
+    gaps = np.flatnonzero(np.diff(place) > 1) + 1
+    numbers = np.insert(ids[place], gaps, -1 - len(benchmark.item_ids) - np.arange(len(gaps)))
+    place = np.insert(place, gaps, -1)
+    return (np.append(numbers, -1 - len(benchmark.item_ids) - len(gaps)), np.append(place, -1),
+            bounds, len(ids))
+
+
+def search(benchmark: Benchmark, docs: list[list[bytes]]) -> tuple[list[dict | None], list[tuple]]:
+    """(hits, matches): for each document its hit words, items, spans and longest match, or
+    None; and for each benchmark suffix with a match its longest one in the shard as (item,
+    item_start, n_words, document, start)."""
+    out: list[dict | None] = [None] * len(docs)
+    numbers, place, bounds, size = _shard(benchmark, docs)
+    if not len(benchmark.windows) or not (numbers > 0).any():
+        return out, []
+    array = SuffixArray(numbers, benchmark)
+    cover = np.zeros(size + 1, np.int64)
     items: dict[int, set] = {}
-    for size, keys, items_of in benchmark.windows:
-        if len(ids) < size:
-            continue
-        start = np.flatnonzero(known[size:] - known[:-size] == size)
-        if not len(start):
-            continue
-        suffix = _keys(ids[start[:, None] + np.arange(size)], size)
-        order = np.argsort(suffix)
-        suffix = suffix[order]
-        low, high = (np.searchsorted(suffix, keys, side) for side in ("left", "right"))
-        for k in np.flatnonzero(low < high).tolist():
-            places = start[order[low[k]:high[k]]]
-            np.add.at(cover, places, 1)
-            np.add.at(cover, places + size, -1)
-            for doc in np.unique(np.searchsorted(bounds, places, "right") - 1).tolist():
-                items.setdefault(doc, set()).update(items_of[k])
+    for words, starts in benchmark.windows:
+        keys = array.prefixes(starts + array.split, words)
+        wanted, which = np.unique(keys, return_inverse=True)
+        # A window of the training text lies within its run if its last word does.
+        own = array.training[array.training + words <= len(numbers)]
+        own = own[place[own + words - 1] == place[own] + words - 1]
+        found = np.searchsorted(wanted, array.prefixes(own, words))
+        hit = wanted[np.minimum(found, len(wanted) - 1)] == array.prefixes(own, words)
+        own, found = place[own[hit]], found[hit]
+        np.add.at(cover, own, 1)
+        np.add.at(cover, own + words, -1)
+        pairs = np.unique(np.stack([np.searchsorted(bounds, own, "right") - 1, found]), axis=1)
+        owners: dict[int, set] = {}
+        for key, start in zip(which.tolist(), starts.tolist(), strict=True):
+            owners.setdefault(key, set()).add(int(benchmark.item_of[start]))
+        for doc, key in pairs.T.tolist():
+            items.setdefault(doc, set()).update(owners[key])
+    suffixes, (length, where) = array.benchmark, array.longest(array.benchmark, array.training)
+    matched = []
+    for k in np.flatnonzero(length).tolist():
+        at = int(suffixes[k]) - array.split
+        start = int(place[where[k]])
+        doc = int(np.searchsorted(bounds, start, "right")) - 1
+        matched.append((benchmark.item_ids[benchmark.item_of[at]], int(benchmark.place_of[at]),
+                        int(length[k]), doc, start - int(bounds[doc])))
     hit = np.cumsum(cover[:-1]) > 0
-    out: list[dict | None] = [None] * len(docs)
+    position = np.full(size, -1)
+    position[place[place >= 0]] = np.flatnonzero(place >= 0)
     for doc, found in items.items():
-        begin, end = bounds[doc], bounds[doc + 1]
+        begin, end = int(bounds[doc]), int(bounds[doc + 1])
         own = hit[begin:end]
-        first = _starts_of(own)
-        last = _starts_of(~own)
+        first, last = _starts_of(own), _starts_of(~own)
         stops = [int(last[np.searchsorted(last, s)]) for s in first]
-        longest = max(((*benchmark.longest(ids, int(begin) + k), k)
-                       for k in np.flatnonzero(own).tolist()), key=lambda x: (x[0], -x[2]))
+        places = np.flatnonzero(own)
+        words, there = array.longest(position[begin + places], array.benchmark)
+        best = int(words.argmax())
+        at = int(there[best]) - array.split
         out[doc] = {
             "n_hit": int(own.sum()), "items": {benchmark.item_ids[i] for i in found},
             "spans": [(int(s), e - int(s)) for s, e in zip(first, stops, strict=True)],
-            "longest": (longest[0], longest[2], benchmark.item_ids[benchmark.item_of[longest[1]]],
-                        benchmark.place_of[longest[1]]),
+            "longest": (int(words[best]), int(places[best]),
+                        benchmark.item_ids[benchmark.item_of[at]], int(benchmark.place_of[at])),
         }
-    return out
+    return out, matched
 
 
 def _merged(parts: list[dict]) -> dict:
@@ -177,10 +224,10 @@ def _searcher(blocks: list, window: int):
         docs = [words_of(t) for t in texts]
         hits: list[list[dict]] = [[] for _ in docs]
         for block in blocks:
-            for own, found in zip(hits, search(ready or Benchmark(block.value, window), docs),
-                                  strict=True):
-                if found:
-                    own.append(found)
+            found, _ = search(ready or Benchmark(block.value, window), docs)
+            for own, hit in zip(hits, found, strict=True):
+                if hit:
+                    own.append(hit)
         return [len(d) for d in docs], [_merged(h) if h else None for h in hits]
 
     return find
@@ -226,6 +273,42 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = 1,
+                    block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(item_id, item_start, n_words, doc_id, start): for every place of every benchmark item
+    the longest verbatim match of the words from there in all of ``docs``, and where it is.
+
+    Only matches that hold a window of the item's block (of its smallest size) are looked for
+    and those of fewer than ``least`` words left out. Of equally long ones the smallest doc_id and
+    start count. Items with the same id are one. Each shard sends one row per place at most; they are
+    reduced by place.
+    """
+    blocks = _blocks(benchmark, WINDOW, block_words)
+    types = {"item_id": benchmark.schema["item_id"].dataType, "doc_id": docs.schema["doc_id"].dataType}
+
+    def run(batches):
+        for batch in batches:
+            texts, keys = texts_of(batch), batch.column("doc_id").to_pylist()
+            words = [words_of(t) for t in texts]
+            for block in blocks:
+                found = [(i, at, n, keys[doc], start) for i, at, n, doc, start in
+                         search(Benchmark(block.value, WINDOW), words)[1] if n >= least]
+                columns = list(zip(*found, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(columns[0], to_arrow_type(types["item_id"])),
+                    pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
+                    pa.array(columns[3], to_arrow_type(types["doc_id"])),
+                    pa.array(columns[4], pa.int64())],
+                    ["item_id", "item_start", "n_words", "doc_id", "start"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, (
+        f"item_id {types['item_id'].simpleString()}, item_start bigint, n_words bigint, "
+        f"doc_id {types['doc_id'].simpleString()}, start bigint"))
+    best = F.min(F.struct((-F.col("n_words")).alias("less"), "doc_id", "start")).alias("best")
+    return rows.groupBy("item_id", "item_start").agg(best).select(
+        "item_id", "item_start", (-F.col("best.less")).alias("n_words"), "best.doc_id", "best.start")
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without a benchmark window, all columns unchanged and nothing shuffled."""
     blocks = _blocks(benchmark, window, BLOCK_WORDS)

@@ -116,6 +116,35 @@ def test_decontamination(spark, nothing, block_words):
     assert decontaminate.matches(nothing, bench).count() == 0
 
 
+def test_every_longest_match(spark):
+    """Every suffix of every item against every place of every document, word by word."""
+    random.seed(11)
+    texts = [" ".join(random.choice("abcx") for _ in range(random.randint(0, 60))) for _ in range(25)]
+    items = [(k, " ".join(random.choice("abc") for _ in range(n))) for k, n in enumerate((14, 12, 25))]
+    texts[3] += " " + items[2][1]
+    rows = spark.createDataFrame([*enumerate(texts), (None, "a b c")], "doc_id int, text string")
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    least = 10
+
+    def common(x, y):
+        return next((n for n, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+
+    want = {}
+    for item, text in items:
+        own = text.split()
+        for at in range(len(own)):
+            found = [(-common(own[at:], t.split()[start:]), doc, start)
+                     for doc, t in enumerate(texts) for start in range(len(t.split()))]
+            n, doc, start = min(found)
+            if -n >= least:
+                want[item, at] = (-n, doc, start)
+    got = {(r.item_id, r.item_start): (r.n_words, r.doc_id, r.start)
+           for r in decontaminate.longest_matches(rows.repartition(3), bench, least).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and len(want) >= 16
+    for (item, at), (n, doc, start) in got.items():
+        assert texts[doc].split()[start:start + n] == items[item][1].split()[at:at + n]
+
+
 def test_pieces(spark, docs, nothing):
     sentencepiece = pytest.importorskip("sentencepiece")
     model = piece_bpe.default_model()
