@@ -64,5 +64,5 @@ def test_export_leaves_other_files(spark, tmp_path):
     export_samples(records, str(target), ["source_message_id"])
     export_samples(records.where("source_message_id <> 'm2'"), str(target), ["source_message_id"])
     assert (target / "README.md").read_text() == "kept"
-    names = sorted(p.name for p in target.iterdir() if p.name.startswith("sample_name"))
-    assert names == ["sample_name=001_sample.json", "sample_name=002_sample.json"]
+    names = sorted(p.name for p in target.iterdir() if p.name.endswith("_sample.json"))
+    assert names == ["001_sample.json", "002_sample.json"]
