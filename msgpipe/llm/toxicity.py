@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgpipe.llm.common import in_arrow, table, texts_of
+from msgpipe.llm.common import in_arrow, stage, table, texts_of
 
 FOLDS = 5
 #: Labelled rows, at most, that the lexicons are mined from.
@@ -60,6 +60,10 @@ class Voters:
                    if (g := [place[w] for w in mined[k::MINED_VOTERS]])]
         return cls(words, groups)
 
+    @property
+    def size(self) -> int:
+        return len(self.words) + len(PATTERNS)
+
     def features(self, texts: list[str]) -> np.ndarray:
         """Rows of 0 and 1: which words and which patterns a text has."""
         place = {w: k for k, w in enumerate(self.words)}
@@ -152,7 +156,10 @@ class Classifier:
     intercept: float
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        logit = self.voters.features(texts) @ self.coefficients + self.intercept
+        return self.judge(self.voters.features(texts))
+
+    def judge(self, features: np.ndarray) -> np.ndarray:
+        logit = features @ self.coefficients + self.intercept
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
@@ -201,19 +208,41 @@ def _mine(docs: DataFrame, labels: DataFrame) -> tuple[list[str], float | None]:
     return [r.word for r in best.select("word").collect()], share
 
 
-def _agreement(docs: DataFrame, voters: Voters) -> tuple[float, np.ndarray]:
+def featured(docs: DataFrame, voters: Voters) -> DataFrame:
+    """(doc_id, bits): features of every row, staged, eight to a byte; texts are read once."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def make():
+        def convert(batch):
+            bits = np.packbits(voters.features(texts_of(batch)).astype(bool), axis=1)
+            return pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([b.tobytes() for b in bits], pa.binary())],
+                ["doc_id", "bits"])
+        return convert
+
+    return stage(in_arrow(docs.select("doc_id", "text"), make, f"doc_id {kind}, bits binary"),
+                 "toxicity-features")
+
+
+def _unpacked(batch: pa.RecordBatch, size: int) -> np.ndarray:
+    """Rows of 0 and 1 of a batch of ``featured``."""
+    packed = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8)
+    return np.unpackbits(packed.reshape(batch.num_rows, -1), axis=1)[:, :size].astype(np.float64)
+
+
+def _agreement(rows: DataFrame, voters: Voters) -> tuple[float, np.ndarray]:
     """Number of documents and how many of them each pair of voters fires on, over all."""
     size = len(voters.groups) + len(PATTERNS)
 
     def make():
         def convert(batch):
-            votes = voters.votes(voters.features(texts_of(batch)))
+            votes = voters.votes(_unpacked(batch, voters.size))
             sums = np.r_[len(votes), (votes.T @ votes).ravel()]
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(sums))), pa.array(sums)], ["place", "n"])
         return convert
 
-    counted = in_arrow(docs.select("text"), make, "place bigint, n double")
+    counted = in_arrow(rows.select("bits"), make, "place bigint, n double")
     sums = {r.place: r.n for r in counted.groupBy("place").agg(F.sum("n").alias("n")).collect()}
     flat = np.array([sums.get(k, 0.0) for k in range(1 + size * size)])
     return flat[0], flat[1:].reshape(size, size)
@@ -221,18 +250,28 @@ def _agreement(docs: DataFrame, voters: Voters) -> tuple[float, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     """Mine lexicons, fit the label model over all documents, then the classifier."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    return fit_featured(docs, labels)[0]
 
+
+def fit_featured(docs: DataFrame, labels: DataFrame) -> tuple[Classifier, DataFrame]:
+    """:func:`fit`, and the features of ``docs`` it came from, for ``scores_of``."""
     mined, share = _mine(docs, labels)
-    prior = min(max(share or PRIOR, 0.001), 0.999)
     voters = Voters.of(mined)
-    n, both = _agreement(docs, voters)
+    rows = featured(docs, voters)
+    prior = min(max(share or PRIOR, 0.001), 0.999)
+    return _fitted(rows, voters, prior), rows
+
+
+def _fitted(documents: DataFrame, voters: Voters, prior: float) -> Classifier:
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    n, both = _agreement(documents, voters)
     model = LabelModel.fit(n, both, prior)
 
     def make():
         def convert(batch):
-            features = voters.features(texts_of(batch))
+            features = _unpacked(batch, voters.size)
             share = model.posterior(voters.votes(features))
             return pa.RecordBatch.from_arrays(
                 [pa.array(list(features), pa.list_(pa.float64())), pa.array(share)],
@@ -242,15 +281,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     some = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(
         (1 << 20) * min(1.0, SAMPLE_ROWS / max(n, 1)) + 1)
     held = fold(F.col("doc_id"))
-    rows = in_arrow(docs.where(some & (held != 0)).select("text"), make,
+    rows = in_arrow(documents.where(some & (held != 0)).select("bits"), make,
                     "features array<double>, share double")
     rows = rows.select(array_to_vector("features").alias("features"), F.explode(F.array(
         F.struct(F.lit(1.0).alias("label"), F.col("share").alias("weight")),
         F.struct(F.lit(0.0).alias("label"), (1 - F.col("share")).alias("weight")))).alias("x"))
     rows = rows.select("features", "x.label", "x.weight").where("weight > 0")
     if rows.isEmpty():
-        size = len(voters.words) + len(PATTERNS)
-        return Classifier(voters, np.zeros(size), float(np.log(prior / (1 - prior))))
+        return Classifier(voters, np.zeros(voters.size), float(np.log(prior / (1 - prior))))
     fitted = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=50,
                                 standardization=False).fit(rows)
     return Classifier(voters, fitted.coefficients.toArray(), float(fitted.intercept))
@@ -261,16 +299,22 @@ def toxicity_scores(docs: DataFrame, classifier: Classifier) -> DataFrame:
 
     Every row keeps its own row, repeated rows get equal scores, other columns are ignored.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    return scores_of(featured(docs, classifier.voters), classifier)
+
+
+def scores_of(rows: DataFrame, classifier: Classifier) -> DataFrame:
+    """:func:`toxicity_scores` of rows whose features are known."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def make():
         def convert(batch):
+            features = _unpacked(batch, classifier.voters.size)
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(classifier.scores(texts_of(batch)))],
+                [batch.column("doc_id"), pa.array(classifier.judge(features))],
                 ["doc_id", "score"])
         return convert
 
-    return in_arrow(docs.select("doc_id", "text"), make, f"doc_id {kind}, score double")
+    return in_arrow(rows, make, f"doc_id {kind}, score double")
 
 
 def drop_toxic(docs: DataFrame, classifier: Classifier) -> DataFrame:
@@ -284,6 +328,7 @@ def drop_toxic(docs: DataFrame, classifier: Classifier) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     docs = table(spark, sf_dir, "documents")
-    scored = toxicity_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
+    classifier, rows = fit_featured(docs, table(spark, sf_dir, "labels"))
+    scored = scores_of(rows, classifier)
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
