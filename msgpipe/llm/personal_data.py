@@ -2,9 +2,11 @@
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers. They are the
 seeds, each whole span one instance: the words beside it become lexical patterns, and a
-graph of patterns and identifier-like tokens is scored in rounds. A pattern is trusted if nearly all the
-tokens it stands beside are known entities of one kind; tokens that trusted patterns
-agree on are new entities, and seeds of the next round.
+graph of patterns and identifier-like tokens is scored in rounds. A pattern is trusted for a
+kind by the known entities of that kind it stands beside against those of other kinds, and against
+a tenth of the tokens of which nothing is known: what it is to find must not speak against it.
+Tokens that trusted patterns agree on are new entities, and seeds of the next round; the
+rounds end when one finds nothing new.
 """
 
 from __future__ import annotations
@@ -30,9 +32,12 @@ _DIGITS = r"[+(]?+[0-9][0-9().+/-]*+"
 TOKEN = (rf"(?<!\S)(?:{_DIGITS}(?:\x20{_DIGITS})*+\S*+|[^\s0-9]*+[0-9]\S*+"
          r"|[^\s@._:/(]++[@._:/(]++[^\s@._:/(]\S*+)")
 
-ROUNDS = 3
-#: A pattern needs so many different known entities, and this share of known ones.
-SUPPORT, CONFIDENCE = 10, 0.95
+#: A pattern needs so many different known entities of its kind, and this share of them.
+SUPPORT, CONFIDENCE = 10, 0.9
+#: What a token beside a pattern counts of which nothing is known.
+UNKNOWN = 0.1
+#: Characters beside a span that its words are taken from; a longer word is cut.
+CONTEXT = 64
 #: A token is a new entity from this score on, and with so many trusted patterns.
 ENTITY, PATTERNS = 0.99, 2
 _CHUNK = 256
@@ -52,8 +57,8 @@ def matches(text: Column, pattern: str) -> Column:
                      F.slice(gaps, 2, n).alias("next")),
         lambda x: F.struct(
             F.length(x["gap"]).cast("bigint").alias("skip"), x["hit"].alias("hit"),
-            F.right(x["gap"], F.lit(64)).alias("left"),
-            F.left(x["next"], F.lit(64)).alias("right")))
+            F.right(x["gap"], F.lit(CONTEXT)).alias("left"),
+            F.left(x["next"], F.lit(CONTEXT)).alias("right")))
     row = "struct<start:bigint,hit:string,left:string,right:string>"
     chunk = f"struct<at:bigint,rows:array<{row}>>"
 
@@ -183,9 +188,11 @@ def new_entities(found: DataFrame) -> DataFrame:
     known = edges.where("kind is not null").groupBy("token").agg(F.min("kind").alias("kind"))
     seeds = stage(known, "seed-entities")
     news = None
-    for _ in range(ROUNDS):
+    # Every round but the last makes some token known, so the rounds end.
+    while True:
         marked = edges.select("token", "pattern").join(known, "token", "left")
-        totals = marked.groupBy("pattern").agg(F.count(F.lit(1)).alias("all"))
+        totals = marked.groupBy("pattern").agg(F.sum(
+            F.when(F.col("kind").isNull(), UNKNOWN).otherwise(1.0)).alias("all"))
         # A kind counts by its own tokens; most often one kind leads, if any.
         trusted = (
             marked.where("kind is not null").groupBy("pattern", "kind").agg(

@@ -274,6 +274,37 @@ def test_personal_data_learns_contexts(spark):
     assert tuple(got[60][0]) == (8, 0, 8 + len("person0(at)host"))
 
 
+@pytest.mark.parametrize("unseen", [10, 30, 50])
+def test_personal_data_finds_many_unseen(spark, unseen):
+    """Shares of identifiers of no base form beside the words of known ones; none where the
+    same words stand beside other things as well."""
+    texts = []
+    for k in range(200):
+        hidden = k % 100 < unseen
+        texts.append(f"mail to person{k}{'(at)host' if hidden else '@host.org'} please now")
+        texts.append(f"seat {k}b in row {k % 9}")
+        texts.append(f"item no. {k}/7 costs much" if k % 10 else f"item no. x{k}@shop.org costs much")
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in personal_data.personal_data(rows).collect()}
+    for k in range(200):
+        token = texts[3 * k].split()[2]
+        assert got[3 * k] == [(8, 0, 8 + len(token))]
+        assert got[3 * k + 1] == []
+        assert len(got[3 * k + 2]) == (k % 10 == 0)
+
+
+def test_personal_data_goes_on_until_nothing_is_new(spark):
+    """Five contexts, each of which knows enough only when the one before it has been learnt."""
+    left, right = ["".join(c * 3) for c in "abcdef"], ["".join(c * 3) for c in "uvwxyz"]
+    texts = [f"{left[0]} id{k}@host.org {right[0]}" for k in range(30)]
+    for step in range(5):
+        for at in (step, step + 1):
+            texts += [f"{left[at]} id{step}x{k}(at)h {right[at]}" for k in range(15)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = personal_data.personal_data(rows).collect()
+    assert all(len(r.spans) == 1 for r in got), [texts[r.doc_id] for r in got if len(r.spans) != 1][:5]
+
+
 def test_line_dedup(spark, docs, nothing):
     one = "The quick brown fox jumps over the lazy dog near river banks every single morning"
     rows = [(1, f"{one}\nshort one\nline of its own that nobody else has written", 10),
