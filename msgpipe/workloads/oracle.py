@@ -164,6 +164,31 @@ MESSAGES = f"""m AS (
 
 ORACLE = {
     "redact_documents": f"SELECT doc_id, {_redact('text')} AS text FROM documents",
+    "redact_rules": f"""
+        SELECT doc_id, regexp_replace(regexp_replace({_redact('text')}, '[0-9]{{3,}}', '[number]', 'g'),
+               '\\[number\\]-\\[number\\]', '[range]', 'g') AS text FROM documents""",
+    "raw_lines_scan": f"""
+        WITH r AS (
+            SELECT {ID} AS id, {THREAD} AS thread_id, doc_id AS n,
+                   CASE WHEN doc_id % 4 = 0 THEN sha256(text) END AS body FROM documents
+            UNION ALL SELECT 'page-' || page_id, NULL, page_id, sha256(html) FROM pages)
+        SELECT CASE WHEN n % 6 <> 1 THEN id END AS message_id,
+               CASE WHEN n % 6 <> 1 THEN thread_id END AS thread_id,
+               CASE WHEN n % 6 <> 1 THEN body END AS body_sha256,
+               CASE WHEN n % 6 = 1 THEN 'read' END AS stage,
+               CASE WHEN n % 6 = 1 THEN 'invalid JSON' END AS error
+        FROM r""",
+    "response_lines_scan": f"""
+        WITH {MESSAGES} SELECT message_id, tl_dr, answer AS summary, category FROM m""",
+    "capture_job": f"""
+        WITH t AS ({TIMINGS})
+        SELECT 'SLO_BREACH' AS outcome, (SELECT count(*) FROM nation) AS records,
+               (SELECT count(*) FROM nation) AS samples,
+               count(*) FILTER (duration_ms > 20000) + CAST(sum(duration_ms) > 120000 AS BIGINT)
+                   AS breaches, count(*) AS messages,
+               CAST(sum(duration_ms) AS BIGINT) AS total_ms,
+               CAST(max(duration_ms) AS BIGINT) AS slowest_ms
+        FROM t""",
     "redact_hits_by_lang": f"""
         SELECT lang, count(*) AS docs,
                CAST(sum(len(regexp_extract_all(text, '{EMAIL}'))) AS BIGINT) AS addresses

@@ -16,7 +16,14 @@ from msgpipe.functions.headers import header_or_empty
 from msgpipe.functions.html import html_to_text
 from msgpipe.functions.mime import attachment_names, flatten_parts, inline_text
 from msgpipe.functions.prompt import render_prompt
-from msgpipe.functions.redaction import EMAIL_RULE, redact, redact_message, redact_record
+from msgpipe.functions.redaction import (
+    DEFAULT_RULES,
+    EMAIL_RULE,
+    RedactionRule,
+    redact,
+    redact_message,
+    redact_record,
+)
 from msgpipe.functions.text import iso_utc, truncate
 from msgpipe.operators.conversation import (
     conversation_messages,
@@ -31,6 +38,7 @@ from msgpipe.operators.records import (
     dead_letters_of,
     flatten_records,
     list_columns_as_json,
+    record_json,
     records_of,
 )
 from msgpipe.operators.respond import (
@@ -51,14 +59,15 @@ from msgpipe.operators.usage import (
     totals_line,
 )
 from msgpipe.plans.batch import ingest, prepare_messages, run_label_batch
+from msgpipe.plans.capture import run_capture
 from msgpipe.plans.replay import replay
 from msgpipe.schemas import clock
 from msgpipe.session import configure, new_staging_path
 from msgpipe.sources.archive import Archive
 from msgpipe.sources.captures import records_from_lines, timings_from_lines
 from msgpipe.sources.listing import label_index, list_messages, message_index, resolve_label
-from msgpipe.sources.raw import from_table, get_messages
-from msgpipe.sources.responses import read_large_response_object
+from msgpipe.sources.raw import from_table, get_messages, read_message_lines
+from msgpipe.sources.responses import read_large_response_object, read_response_lines
 from msgpipe.streaming.ingest import stream_messages, stream_records
 from msgpipe.workloads import inputs
 
@@ -75,6 +84,16 @@ def redact_documents(spark, sf_dir):
         "doc_id", redact(F.col("text")).alias("text"))
 
 
+#: Stand-ins for rules of a user: numbers of three digits and more, and what came before.
+EXTRA_RULES = (RedactionRule(r"[0-9]{3,}", "[number]"), RedactionRule(r"\[number\]-\[number\]", "[range]"))
+
+
+def redact_rules(spark, sf_dir):
+    """The shipped rule and two more, in order, over whole texts."""
+    return inputs.table(spark, sf_dir, "documents").select(
+        "doc_id", redact(F.col("text"), (*DEFAULT_RULES, *EXTRA_RULES)).alias("text"))
+
+
 def redact_hits_by_lang(spark, sf_dir):
     hits = F.regexp_count("text", F.lit(EMAIL_RULE.pattern))
     return inputs.table(spark, sf_dir, "documents").groupBy("lang").agg(
@@ -486,6 +505,48 @@ def _nation_records(spark, sf_dir):
         clock(RUN_TIME).alias("created_at"))
 
 
+def raw_lines_scan(spark, sf_dir):
+    """Raw resources written as lines, some of them cut short, and read leniently."""
+    path = new_staging_path(spark, "lines")
+    number = F.regexp_extract("message_id", r"(\d+)$", 1).cast("bigint")
+    inputs.raw_json(spark, sf_dir, broken=False).select(F.when(
+        number % 6 == 1, F.concat(F.lit("{"), "message_id")).otherwise(F.col("payload"))
+        .alias("value")).write.text(path)
+    body = decode_base64url(F.try_variant_get("payload", "$.payload.body.data", "string"))
+    return read_message_lines(spark, path, strict=False).select(
+        "message_id", F.try_variant_get("payload", "$.threadId", "string").alias("thread_id"),
+        F.sha2(body["text"], 256).alias("body_sha256"), F.col("err.stage").alias("stage"),
+        F.regexp_extract("err.error", ": ([^:]*)$", 1).alias("error"))
+
+
+def response_lines_scan(spark, sf_dir):
+    """Prepared answers written as lines and read back."""
+    path = new_staging_path(spark, "answers")
+    answers = inputs.prepared_answers(spark, sf_dir)
+    answers.select(F.concat(
+        F.lit('{"message_id": "'), "message_id", F.lit('", "answer": '), "answer", F.lit("}"))
+        .alias("value")).write.text(path)
+    return read_response_lines(spark, path).select("message_id", *(
+        F.get_json_object("answer", f"$.{n}").alias(n) for n in ("tl_dr", "summary", "category")))
+
+
+def capture_job(spark, sf_dir):
+    """Captured output of a run and its log: outcome, samples, timings and breaches."""
+    stdout, stderr = new_staging_path(spark, "stdout"), new_staging_path(spark, "stderr")
+    samples = new_staging_path(spark, "samples")
+    lines = record_json(_nation_records(spark, sf_dir)).unionByName(
+        spark.range(1).select(F.lit("+-- done --+").alias("value")))
+    lines.write.text(stdout)
+    inputs.log_lines(spark, sf_dir).write.text(stderr)
+    result = run_capture(spark, stdout, samples, stderr)
+    return result.timing.select(
+        F.lit(result.outcome.name).alias("outcome"),
+        F.lit(result.records.count()).cast("bigint").alias("records"),
+        F.lit(spark.read.text(samples, wholetext=True).count()).cast("bigint").alias("samples"),
+        F.lit(result.breaches.count()).cast("bigint").alias("breaches"),
+        "messages", "total_ms", "slowest_ms")
+
+
 def conversation_message_rows(spark, sf_dir):
     """Every turn a model is sent, with the conversation's system text."""
     return conversation_messages(inputs.table(spark, sf_dir, "conversations")).select(
@@ -654,6 +715,10 @@ def make_stub_responder():
 
 QUERIES = {
     "redact_documents": redact_documents,
+    "redact_rules": redact_rules,
+    "raw_lines_scan": raw_lines_scan,
+    "response_lines_scan": response_lines_scan,
+    "capture_job": capture_job,
     "redact_hits_by_lang": redact_hits_by_lang,
     "redact_message": redact_message_fields,
     "html_to_text": html_pages,
