@@ -31,7 +31,7 @@ GAMMA = 2.0
 #: Keys that still collide after so many levels are listed with their hashes.
 LEVELS = 40
 #: Entries of a worker's word cache (two generations of this many).
-CACHE = 200_000
+CACHE = 700_000
 #: Words that go to the library in one text.
 _GROUP = 256
 
