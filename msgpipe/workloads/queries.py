@@ -354,7 +354,7 @@ def insert_or_ignore(spark, sf_dir):
 
 def indexed_append(spark, sf_dir):
     """Orders in both deliveries, in a store whose key index has to grow on the way."""
-    store = Store(spark, new_staging_path(spark, "store")).create(buckets=4, bucket_keys=500)
+    store = Store(spark, new_staging_path(spark, "store")).create(buckets=1, bucket_keys=8000)
     records = inputs.order_records(spark, sf_dir)
     for number in (1, 2):
         store.append_records(flatten_records(records.filter(F.col("delivery") == number)), [KEY])
