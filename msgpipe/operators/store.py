@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
@@ -188,7 +188,8 @@ class Store:
     # Appending.
 
     def append_records(self, records: DataFrame, order: Sequence[str | Column],
-                       now: Column | None = None) -> Appended:
+                       now: Column | None = None,
+                       made: Callable[[DataFrame], DataFrame] | None = None) -> Appended:
         """Append the records, nested or in stored form, whose id is not stored yet.
 
         The first per id wins. ``order`` ranks rows of one id; it may name extra columns of
@@ -198,10 +199,14 @@ class Store:
 
         The key index is asked before any stored key is read; records are written once, and
         counted while they are written.
+
+        Columns that may fail for a row are best added by ``made``, row by row, to ``records``
+        that hold all else, their ids among it: then the failing rows are found in one pass, see
+        :func:`write_guarded`, and rows that are no first of their id are not made at all.
         """
         if self.attempt is None:
             batch = self.begin()
-            appended = batch.append_records(records, order, now)
+            appended = batch.append_records(records, order, now, made)
             filed = batch.append_dead_letters(appended.letters) if appended.refused else 0
             batch.commit(appended, filed)
             return appended
@@ -217,7 +222,9 @@ class Store:
         if unnamed:
             # Rows without an id are not versions of one message: each is refused.
             fresh = fresh.unionByName(records.where(F.coalesce(KEY, F.lit("")) == ""))
-        judged = fresh.withColumn("refusal", constraint_error(kind))
+
+        def judged(rows: DataFrame) -> DataFrame:
+            return (made(rows) if made else rows).withColumn("refusal", constraint_error(kind))
 
         def kept(rows: DataFrame) -> DataFrame:
             valid = rows.where("refusal is null").drop("refusal")
@@ -227,24 +234,26 @@ class Store:
             rows.write.mode("append").parquet(
                 f"{self.records_path}/attempt={self.attempt}/piece={piece}")
 
-        written = write_guarded(judged, KEY, write, {
-            "first": F.count(F.lit(1)), "refused": F.count("refusal")}, kept)
+        counters = {"first": F.count(F.lit(1)), "refused": F.count("refusal")}
+        written = write_guarded(fresh, KEY, write, counters, kept, judged) if made else (
+            write_guarded(judged(fresh), KEY, write, counters, kept))
         counts = {"first": 0, "refused": 0} | written.counts
         inserted = counts["first"] - counts["refused"]
         refused = counts["refused"] + len(written.failed)
-        letters = self._refusals(judged, written, clock() if now is None else now)
+        letters = self._refusals(written.rows or fresh, judged, written, clock() if now is None else now)
         return Appended(inserted, total - inserted - refused, refused, letters)
 
-    def _refusals(self, judged: DataFrame, written, now: Column) -> DataFrame | None:
+    def _refusals(self, fresh: DataFrame, judged: Callable[[DataFrame], DataFrame], written,
+                  now: Column) -> DataFrame | None:
         """Dead letters for the rows that were left out."""
         parts = []
         names = ("source_message_id", "stage", "error", "traceback", "failed_at")
         if written.counts.get("refused"):
             # A filter by value reaches the scan, so failing rows are not computed again.
             failing = [key for key, _ in written.failed]
-            sound = judged.where(F.col(KEY).isNull() | ~F.col(KEY).isin(failing)) \
-                if failing else judged
-            parts.append(sound.where("refusal is not null").select(
+            sound = fresh.where(F.col(KEY).isNull() | ~F.col(KEY).isin(failing)) \
+                if failing else fresh
+            parts.append(judged(sound).where("refusal is not null").select(
                 F.col(KEY), F.lit("persist"), "refusal", F.lit(""), now))
         if written.failed:
             parts.append(self.spark.createDataFrame(

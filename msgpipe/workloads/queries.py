@@ -384,11 +384,14 @@ def _document_records(spark, sf_dir):
 def persist_isolated(spark, sf_dir):
     """Records of which some make the write fail: those become dead letters, all others rows."""
     records = _document_records(spark, sf_dir)
-    spoiled = records.withColumn("subject", F.when(
-        F.col("doc_id") % 331 == 7, F.raise_error(F.concat(F.lit("cannot write "), KEY)))
-        .otherwise(F.col("subject")))
+
+    def spoiled(rows):
+        return rows.withColumn("subject", F.when(
+            F.col("doc_id") % 331 == 7, F.raise_error(F.concat(F.lit("cannot write "), KEY)))
+            .otherwise(F.col("subject")))
+
     store = Store(spark, new_staging_path(spark, "store")).create()
-    store.append_records(spoiled, ["doc_id"], clock(RUN_TIME))
+    store.append_records(records, ["doc_id"], clock(RUN_TIME), spoiled)
     return _store_rows(store)
 
 

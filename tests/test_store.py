@@ -100,6 +100,37 @@ def test_all_rows_failing_are_all_filed(spark, tmp_path):
     assert (done.inserted, done.refused) == (0, 3) and store.dead_letters().count() == 3
 
 
+def test_many_failing_keys_take_one_pass(spark, tmp_path):
+    """Few writes however many keys fail, and rows with a key twice or with none stay whole."""
+    store = Store(spark, str(tmp_path / "store")).create()
+    number = F.regexp_extract(KEY, r"(\d+)$", 1).cast("int")
+
+    def made(rows):
+        return rows.withColumn("subject", F.when(number % 4 == 1, F.raise_error(F.concat(
+            F.lit("cannot write "), KEY))).otherwise(F.col("subject")))
+
+    writes = []
+
+    def write(rows, piece):
+        writes.append(piece)
+        rows.write.parquet(str(tmp_path / piece))
+
+    rows = many(spark, 40)
+    written = write_guarded(rows, KEY, write, {"n": F.count(F.lit(1))}, made=made)
+    bad = {f"k{k}" for k in range(1, 40, 4)}
+    assert set(written.failed) == {(k, f"cannot write {k}") for k in bad}
+    assert written.counts == {"n": 30} and len(writes) <= 3
+
+    repeated = rows.unionByName(rows).unionByName(records(
+        spark, {**record("x0"), "model": ""}, {**record("x2"), KEY: None}))
+    done = store.append_records(repeated, ["model"], made=made)
+    assert (done.inserted, done.ignored, done.refused) == (30, 40, 12)
+    assert set(ids(store.records())) == {f"k{k}" for k in range(40)} - bad
+    found = {(r[KEY], r.error) for r in store.dead_letters().collect()}
+    assert {k for k, _ in found} == bad | {"x0", None}
+    assert ("k5", "cannot write k5") in found
+
+
 def test_ingest_files_refused_records(spark, tmp_path, monkeypatch):
     """A record that is fit to answer but not to store becomes a persist dead letter."""
     from msgpipe.operators import store as module
