@@ -10,7 +10,7 @@ from msgpipe.operators.store import Store
 from msgpipe.operators.timing import slo_breaches, timing_summary
 from msgpipe.plans.batch import ingest, run_label_batch, summarize
 from msgpipe.plans.capture import Outcome, run_capture
-from msgpipe.plans.replay import replay_folder
+from msgpipe.plans.replay import replay, replay_folder
 from msgpipe.streaming.ingest import stream_messages
 
 NOW = datetime(2026, 1, 1, tzinfo=UTC)
@@ -50,6 +50,21 @@ def samples(spark, path):
     return {r.file_name: json.loads(r.value) for r in rows}
 
 
+def test_replay_parses_each_answer_once(spark):
+    """The check that nothing failed is a filter on finished rows, not on parsed answers."""
+    raw = raw_frame(spark, [message(n) for n in range(1, 4)])
+    answers = spark.createDataFrame(
+        [(f"msg-{n}", json.dumps(answer(n))) for n in range(1, 4)], "message_id string, answer string")
+    records = replay(raw, answers, "m", order=(), keep=["prompt"])
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    checks = [line for line in plan.splitlines() if "Filter" in line and "raise_error" in line]
+    assert checks and not any("json" in line.lower() for line in checks)
+    assert sorted(r.source_message_id for r in records.collect()) == ["msg-1", "msg-2", "msg-3"]
+    with pytest.raises(Exception, match="msg-4: summarize: "):
+        replay(raw_frame(spark, [message(4)]), spark.createDataFrame(
+            [("msg-4", "{}")], "message_id string, answer string"), "m", order=()).collect()
+
+
 def test_offline_replay(spark, tmp_path):
     source = folder(tmp_path / "in", [message(n) for n in range(1, 6)],
                     {f"msg-{n}": answer(n) for n in range(1, 6)})
