@@ -190,6 +190,28 @@ def test_token_files(spark, docs, nothing, tmp_path):
         else empty.shards.count() == 0
 
 
+def test_known_words_are_cut_without_the_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    name = token_files.default_tokenizer()
+    whole = tokenizers.Tokenizer.from_file(name)
+    rng = random.Random(5)
+    letters = [*map(chr, [*range(1, 0x180), 0x301, 0x130, 0x3A3, 0x2003])] + [
+        *"'sdtrvml <" * 8, "<|endoftext|>", "<|ENDOFTEXT|>", "'RE", "'ll"]
+    odd = ["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(3000)]
+    common = ["We'LL go, wE'll; GO! 2024 x'd", "Été l'ÉTÉ: ß ÿ.\n\nFin? \"fin\""]
+    own = token_files.WordBPE(name)
+
+    def expected(texts):
+        return [whole.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+    def ids(texts):
+        return [np.frombuffer(raw, own.dtype).tolist() for raw in own.encode(texts)]
+
+    assert ids(odd) == expected(odd)
+    own.tokenizer = None
+    assert ids(common) == expected(common)
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(1).integers(0, 2**63, 20_000).astype(np.uint64)
     function, _ = token_files.PerfectHash.load(token_files.PerfectHash.build(keys).dump())
