@@ -127,13 +127,15 @@ def raw_json(spark: SparkSession, sf_dir: str, *, broken: bool) -> DataFrame:
 
     plain, html = _leaf("text/plain", F.col("text")), _leaf("text/html", markup(F.col("text")))
     pdf = _leaf("application/pdf", None, _text("report-", F.col("doc_id"), ".pdf"))
+    several, single = ("mimeType", "parts"), ("mimeType", "filename", "body")
     flat = {"mimeType": F.lit("text/plain"),
             "body": F.struct(base64url(F.col("text")).alias("data"))}
     both = {"mimeType": F.lit("multipart/alternative"), "parts": F.array(plain, html)}
     deep = {"mimeType": F.lit("multipart/mixed"), "parts": F.array(
-        _with_parts(_multi("multipart/alternative", plain, html)), _with_parts(pdf))}
+        _with_parts(_multi("multipart/alternative", plain, html), several),
+        _with_parts(pdf, single))}
     page_only = {"mimeType": F.lit("multipart/mixed"), "parts": F.array(
-        _with_parts(_multi("multipart/related", html, _leaf("image/png", None, "pic.png"))))}
+        _with_parts(_multi("multipart/related", html, _leaf("image/png", None, "pic.png")), several))}
     shape = F.col("doc_id") % 4
     documents = docs.select(message_id(), F.when(shape == 0, resource(flat))
                             .when(shape == 1, resource(both)).when(shape == 2, resource(deep))
@@ -161,11 +163,13 @@ def page_message_id() -> Column:
     return _text("page-", F.col("page_id")).alias("message_id")
 
 
-def _with_parts(part: Column) -> Column:
-    """A part with both possible members, so parts of one list share a type."""
-    return F.from_json(F.to_json(part), (
-        "mimeType string, filename string, body struct<data:string>, "
-        "parts array<struct<mimeType:string,filename:string,body:struct<data:string>>>"))
+def _with_parts(part: Column, members: tuple[str, ...]) -> Column:
+    """A part that has ``members``, with all possible ones, so parts of one list share a type."""
+    kinds = {"mimeType": "string", "filename": "string", "body": "struct<data:string>"}
+    leaf = ",".join(f"{n}:{kind}" for n, kind in kinds.items())
+    kinds["parts"] = f"array<struct<{leaf}>>"
+    return F.struct(*((part[n] if n in members else F.lit(None)).cast(kind).alias(n)
+                      for n, kind in kinds.items()))
 
 
 def prepared_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
