@@ -12,6 +12,7 @@ from msgpipe.plans.batch import ingest, run_label_batch, summarize
 from msgpipe.plans.capture import Outcome, run_capture
 from msgpipe.plans.replay import replay, replay_folder
 from msgpipe.streaming.ingest import stream_messages
+from msgpipe.workloads import queries
 
 NOW = datetime(2026, 1, 1, tzinfo=UTC)
 DAY = 86_400_000
@@ -283,3 +284,25 @@ def test_capture_outcomes(spark, tmp_path):
     out, err = capture_logs(tmp_path, [], [25000])
     assert run_capture(spark, out, str(tmp_path / "b"), err).outcome is Outcome.NO_RECORDS
     assert not (tmp_path / "b").exists()
+
+
+def test_jobs_with_several_passes_read_a_feed_written_once(spark, tmp_path, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def seen(raw, *more, **options):
+        files.append(raw.inputFiles())
+        raise Seen
+
+    spark.createDataFrame([(1, "a b", "en", "src7"), (2, None, None, None)],
+                          "doc_id bigint, text string, lang string, source string") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "http://a/", "<p>x</p>")], "page_id bigint, url string, html string") \
+        .write.parquet(f"{tmp_path}/pages.parquet")
+    files = []
+    for name, job in (("batch_store", "ingest"), ("run_label_batch_order", "run_label_batch")):
+        monkeypatch.setattr(queries, job, seen)
+        with pytest.raises(Seen):
+            queries.QUERIES[name](spark, str(tmp_path))
+    assert len(files) == 2
+    assert all(found and all("/feed-" in f for f in found) for found in files)
