@@ -458,14 +458,11 @@ def fetch_by_ids_versions(spark, sf_dir):
         F.when(F.col("err").isNull(), F.sha2(body["text"], 256)).alias("body_sha256"))
 
 
-def _feed(spark, sf_dir, *, broken):
-    """Raw messages of a table that is written once, for jobs that read it more than once."""
-    return from_table(stage(inputs.raw_json(spark, sf_dir, broken=broken), "feed"))
-
-
 def run_label_batch_order(spark, sf_dir):
     """The newest messages of a label, from a table with two versions and from an archive."""
-    raw = _feed(spark, sf_dir, broken=False).withColumn("seq", F.lit(1))
+    # Archive, listing and fetch read it five times in all, so it is written once.
+    feed = stage(inputs.raw_json(spark, sf_dir, broken=False), "feed")
+    raw = from_table(feed).withColumn("seq", F.lit(1))
     both = raw.unionByName(raw.withColumn("seq", F.lit(2)))
     labels = inputs.table(spark, sf_dir, "documents").select(
         F.concat(F.lit("Source/"), "source").alias("name"), F.col("source").alias("label_id"))
@@ -599,7 +596,7 @@ def stream_ingest(spark, sf_dir):
 
 def batch_store(spark, sf_dir):
     """The batch job run twice over one feed: what the store holds afterwards."""
-    raw = _feed(spark, sf_dir, broken=True)
+    raw = from_table(inputs.raw_json(spark, sf_dir, broken=True))
     answers = inputs.prepared_answers(spark, sf_dir)
     store = Store(spark, new_staging_path(spark, "store"))
     for _ in range(2):
