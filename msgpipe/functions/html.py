@@ -77,20 +77,12 @@ _C1_CHARS = "".join(
 _OPEN_ENTITY = rf"&[^&;{_S}]{{0,33}}\z"
 
 
-# Named entities that are looked for before the table of all, which is read from its start.
-_FREQUENT = ("amp;", "lt;", "gt;", "quot;", "nbsp;")
-
-
 def _named(token: Column) -> Column:
     """Text of a named entity; longest known name first, unknown ones unchanged."""
     table = F.from_json(F.lit(json.dumps({f"&{k}": v for k, v in html5.items()})),
                         "map<string,string>")
     bare = F.regexp_extract(token, f"^&({_BARE_NAMES})", 0)
-    frequent = F.lit(None).cast("string")
-    for name in reversed(_FREQUENT):
-        frequent = F.when(token == f"&{name}", F.lit(html5[name])).otherwise(frequent)
     return F.coalesce(
-        frequent,
         F.try_element_at(table, token),
         F.when(bare != "", F.concat(F.try_element_at(table, bare),
                                     F.substr(token, F.length(bare) + 1))),
