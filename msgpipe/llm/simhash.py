@@ -116,7 +116,9 @@ def links(different: DataFrame, bits: int = BITS, segments=SEGMENTS) -> DataFram
     lookups = known.select(fp.alias("a"), F.col("component").alias("ca"), F.explode(F.concat(*(
         _keys(k, _ball(_segment(fp, *s), s[1], radius)) for k, s in enumerate(segments)
     ))).alias("s")).select("a", "ca", "s.seg", "s.value")
-    far = entries.join(lookups, ["seg", "value"]).where(
+    # Spark sizes both sides by the file before the explode, a small part of what they are, and
+    # would broadcast one of them.
+    far = entries.hint("merge").join(lookups, ["seg", "value"]).where(
         (F.col("ca") < F.col("cb")) & near(F.col("a"), F.col("b"), bits)).select("a", "b")
     return close.unionByName(far.distinct())
 

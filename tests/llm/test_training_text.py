@@ -78,6 +78,13 @@ def test_simhash(spark, docs, nothing):
     assert kept.columns == docs.columns and kept.where("doc_id = 7").count() == 0
 
 
+def test_simhash_lookups_are_not_broadcast(spark):
+    """Spark takes the exploded sides for as small as the table they come from."""
+    rows = spark.createDataFrame([(k * 7919,) for k in range(50)], "fp bigint")
+    plan = simhash.links(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def _words(text):
     lower = (text or "").translate({c: c + 32 for c in range(65, 91)})
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
