@@ -12,15 +12,27 @@ from pyspark.sql import functions as F
 # array itself and pass for one value.
 _MARK = uuid.uuid4().hex
 
+# try_parse_json refuses a string of more characters than this as malformed, and has no option
+# for it. from_json has; its other options make it read what try_parse_json reads.
+_LONGEST = 20_000_000
+_AS_LONG_AS_IT_IS = {"maxStringLen": str(2**31 - 1), "allowSingleQuotes": "false",
+                     "allowNonNumericNumbers": "false"}
+
+
+def parse(text: Column) -> Column:
+    """``try_parse_json`` for texts of any length that a VARIANT can hold (128 MB)."""
+    return F.when(F.octet_length(text) > _LONGEST,
+                  F.from_json(text, "variant", _AS_LONG_AS_IT_IS)).otherwise(F.try_parse_json(text))
+
 
 def parse_whole(text: Column) -> Column:
     """The one JSON value that a text consists of as VARIANT, NULL for anything else.
 
-    ``try_parse_json`` reads one value and ignores what follows. In an array behind the
+    :func:`parse` reads one value and ignores what follows. In an array behind the
     text, a mark must be the second item: trailing text breaks the array, and a second
     value or a comma moves the mark.
     """
-    items = F.try_variant_get(F.try_parse_json(F.concat(
+    items = F.try_variant_get(parse(F.concat(
         F.lit("["), text, F.lit(f',"{_MARK}"]'))), "$", "array<variant>")
     marked = F.try_variant_get(F.get(items, 1), "$", "string") == _MARK
     return F.when((F.size(items) == 2) & marked, F.get(items, 0))

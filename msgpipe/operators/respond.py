@@ -245,7 +245,7 @@ def answer_text(replies: DataFrame) -> DataFrame:
 
     The error names the stop reason and the block types, never the content.
     """
-    content = F.try_parse_json("reply")
+    content = V.parse(F.col("reply"))
     text = content_text(content)
     types = F.transform(
         F.coalesce(F.try_variant_get(content, "$", "array<variant>"),

@@ -25,6 +25,7 @@ from msgpipe.functions.redaction import (
     redact_record,
 )
 from msgpipe.functions.text import iso_utc, truncate
+from msgpipe.functions.variants import parse
 from msgpipe.operators.conversation import (
     conversation_messages,
     conversation_payloads,
@@ -248,9 +249,9 @@ def message_list_payload(spark, sf_dir):
                 F.struct(F.lit("text").alias("type"), F.col("source").alias("text")))
         .alias("content"))))
     bare = F.to_json(F.array("text"))
-    value = F.when(doc % 3 == 0, F.try_parse_json(lists)).when(
-        doc % 3 == 1, F.try_parse_json(blocks)).otherwise(
-        F.try_variant_get(F.try_parse_json(bare), "$[0]", "variant"))
+    value = F.when(doc % 3 == 0, parse(lists)).when(
+        doc % 3 == 1, parse(blocks)).otherwise(
+        F.try_variant_get(parse(bare), "$[0]", "variant"))
     return inputs.table(spark, sf_dir, "documents").select(
         "doc_id", assemble_messages(value).alias("m")).select(
         "doc_id", "m.system",
@@ -491,7 +492,7 @@ def export_and_emit_readback(spark, sf_dir):
         F.lit("line").alias("kind"), F.lit(None).cast("string").alias("name"), "value")
     files = spark.read.text(samples, wholetext=True).select(
         F.lit("sample"), F.col("_metadata.file_name"), "value")
-    value = F.try_parse_json("value")
+    value = parse(F.col("value"))
     return lines.union(files).select(
         "kind", "name", F.try_variant_get(value, f"$.{KEY}", "string").alias(KEY),
         F.try_variant_get(value, "$.subject", "string").alias("subject"),

@@ -25,6 +25,34 @@ def test_parse_whole(spark):
     assert [r.text for r in rows[len(GOOD):] if r.value is not None] == []
 
 
+def test_long_texts_are_read_as_others(spark, monkeypatch):
+    """The reader for long texts accepts and refuses what the one for all others does."""
+    odd = ("['a']", "[NaN]", "[Infinity]", "[01]", "[+1]", "[.5]", "[1.]", "[1e400]", "[-0]", "{a:1}",
+           '{"a":1,"a":2}', '["a\nb"]', '["\\u0000"]', '["\\q"]', "[1//c\n]", "[" + "9" * 50 + "]",
+           "[" * 998 + "]" * 998, "[" * 1001 + "]" * 1001, "[9223372036854775808]", "[1.50]")
+    texts = spark.createDataFrame([(t,) for t in (*GOOD, *BAD, *odd)], "text string").coalesce(1)
+
+    def read():
+        value = V.parse_whole(F.col("text"))
+        return texts.select("text", F.to_json(value), F.schema_of_variant(value)).collect()
+
+    short = read()
+    monkeypatch.setattr(V, "_LONGEST", -1)
+    assert read() == short
+
+
+def test_record_with_a_text_of_over_20_million_characters(spark):
+    size = 20_000_001
+    record = F.concat(F.lit('{"source_message_id":"a","model":"m","summary":'
+                            '{"tl_dr":"t","category":"c","summary":"'),
+                      F.repeat(F.lit("x"), size), F.lit('"}}'))
+    lines = spark.range(1).select(record.alias("value"), F.lit("o").alias("origin"),
+                                  F.lit(1).alias("position"))
+    got = records_from_lines(lines).select("source_message_id", F.length("summary.summary").alias(
+        "n")).collect()
+    assert [tuple(r) for r in got] == [("a", size)]
+
+
 def test_strict_checks_are_not_pruned(spark, tmp_path):
     (tmp_path / "m.txt").write_text('{"id":"a"}\n{"id":"b"} trailing\n')
     strict = read_message_lines(spark, str(tmp_path))
